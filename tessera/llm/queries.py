@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import pairs, terms, vectors
+from tessera.llm import leaks, packing, pairs, terms, vectors
 
 QUERIES = {
     "p1_found": vectors.p1_found,
     "p2_found": pairs.p2_found,
     "p5_found": terms.p5_found,
+    "p6_packed": packing.p6_packed,
+    "p6_unused": packing.p6_unused,
+    "p7_found": leaks.p7_found,
 }
 
 _IMAGES = r"""

@@ -72,10 +72,10 @@ def similar_vectors(
     dim: int = 64,
     min_similarity: float | None = None,
     version_col: str | None = None,
-    curves: int = 6,
+    curves: int = 8,
     axes: int = 12,
     bits: int = 4,
-    block: int = 1024,
+    block: int = 1536,
     seed: int = 11,
 ) -> DataFrame:
     """For every usable vector its ``k`` most similar others: (id, neighbor, similarity, rank).
