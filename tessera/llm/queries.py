@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from tessera.llm import leaks, packing, pairs, terms, vectors
+from tessera.llm import encoding, leaks, packing, pairs, residue, terms, vectors
 
 QUERIES = {
     "p1_found": vectors.p1_found,
     "p2_found": pairs.p2_found,
+    "p4_found": encoding.p4_found,
+    "p4_restored": encoding.p4_restored,
     "p5_found": terms.p5_found,
     "p6_packed": packing.p6_packed,
     "p6_unused": packing.p6_unused,
     "p7_found": leaks.p7_found,
+    "p8_found": residue.p8_found,
 }
 
 _IMAGES = r"""
