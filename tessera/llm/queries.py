@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import encoding, leaks, packing, pairs, residue, terms, vectors
+from tessera.llm import encoding, leaks, packing, pairs, residue, terms, truncation, vectors
 
 QUERIES = {
     "p1_found": vectors.p1_found,
     "p2_found": pairs.p2_found,
+    "p3_found": truncation.p3_found,
+    "p3_sources": truncation.p3_sources,
     "p4_found": encoding.p4_found,
     "p4_restored": encoding.p4_restored,
     "p5_found": terms.p5_found,
