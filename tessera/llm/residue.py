@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import read_table
+from tessera.session import cut_lineage, read_table
 
 _NAME = r"[^\W\d][\w .-]{0,40}?"
 _UNSET = r"(?:undefined|NaN|null|None|nil|none|unknown|N/A|\[object Object\])"
@@ -111,11 +112,58 @@ EXPLAINS = re.compile(
     """,
     re.X | re.I,
 )
-TRIGGER = re.compile(
-    r"[{}%$@«]|__|\[|XXX|<%|<no|< ?[\w ]+ (?:here|goes)|undefined|NaN|\bnull\b|None|\bnone\b|unknown|N/A|lorem|ipsum|dolor|placeholder|platzhalter|dummy|sample|filler|here|soon|untitled|todo|fixme|TBD|TBA|asdf|qwer|aaa|test test|임시|준비|입력|작성|더미|script|guión|스크립트|browser"
-    r"|error|gateway|unavailable|not (?:be )?found|exist|available|find|unable|could|can|deleted|denied|permission|forbidden|required|account|sign in|log in|session|wrong|oops|too many|retry|try again|maintenance|blocked|in time|time-?out|timed|connection|unexpected|traceback|file \"|exception|code|msg|encontrada|denegado|erreur|introuvable|accès|nicht|fehler|verweigert|negado|to be|replace|insert|enter|찾을|없|삭제|오류|권한|시도|문의|로그인|주소|점검|초과|remplissage|relleno|provis|served",
-    re.I,
-)
+# Of each kind, strings of which its patterns need one, in lower case. Fixed values.
+LITERALS = {
+    "placeholder": "{ $ % @@ __ [[ « [insert [enter [add [your [replace [type [fill [put <insert <enter <add <your xxx",
+    "unset": "undefined nan null none nil unknown n/a [object",
+    "filler": "lorem placeholder dummy sample filler platzhalter remplissage factice provisoire relleno provisional untitled todo fixme tbd tba n/a asdf qwer zxcv aaa 임시 준비 입력 작성 더미",
+    "script": "script guión 스크립트",
+    "error": "404 500 403 503 error gateway unavailable exist unable forbidden oops maintenance traceback exception code= msg= \"error \"code \"status {error {code {status página introuvable erreur accès dienst fehler zugriff acesso acceso cannot can't can’t couldn 찾을 없 존재하지 삭제 서버 권한 잠시 관리자 로그인 주소를 점검 초과 timeout unexpected .java:",
+}
+PHRASES = {
+    "placeholder": (" to be ", "goes here", " here>", "here >"),
+    "filler": ("dolor sit", "here", "coming soon", "replace ", "enter ", "insert ", "add ", "type ", "test test"),
+    "script": ("checking your browser",),
+    "error": (
+        "internal server", "service temp", "time-out", "timed out", "not found", "not be found", "not available", "no longer", "could not", "link you followed", "may have been", "moved or deleted", "removed or deleted",
+        "access denied", "access is", "access was", "need permission", "need the permission", "have permission", "have the permission", "permission denied", "permission required", "permission is", "role required", "authori", "login required",
+        "log in ", "sign in", "enter your account", "session ", "went wrong", "too many", "retry ", "try again", "blocked in", "in time", "connection ", "file \"", "no se ", "nicht gefunden",
+    ),
+}
+
+
+@functools.cache
+def _automaton():
+    found: dict[str, int] = {}
+    for bit, (kind, _) in enumerate(KINDS):
+        for x in (*LITERALS[kind].split(), *PHRASES.get(kind, ())):
+            found[x] = found.get(x, 0) | 1 << bit
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: _any_of(text, found)
+    machine = ahocorasick.Automaton()
+    for x, bits in found.items():
+        machine.add_word(x, bits)
+    machine.make_automaton()
+
+    def kinds(text: str) -> int:
+        bits = 0
+        for _, more in machine.iter(text):
+            bits |= more
+        return bits
+
+    return kinds
+
+
+def _any_of(text: str, found: dict[str, int]) -> int:
+    bits = 0
+    for x, more in found.items():
+        if more & ~bits and x in text:
+            bits |= more
+    return bits
+
+
 SEGMENT = re.compile(r"(?<=[.!?。…])\s+|\n+|(?<=[.!?])(?=<)")
 MARKUP = re.compile(r"</?(?:p|b|i|em|strong|span|div|h\d|br|html|head|body|title|li|ul|td|tr|table)(?:\s[^<>]*)?/?>|\*\*|&nbsp;", re.I)
 INLINE = re.compile(r"</?(?:b|i|em|strong|span)\b|\*\*|&nbsp;", re.I)
@@ -126,14 +174,18 @@ KINDS = (("placeholder", PLACEHOLDER), ("unset", UNSET), ("filler", FILLER), ("s
 
 def residue_segments(text: str):
     """(kind, weak, segment) for each sentence or line of a text that holds residue and doesn't explain or quote it."""
-    if not TRIGGER.search(text):
+    kinds_in = _automaton()
+    if not kinds_in(text.lower()):
         return
-    for segment in SEGMENT.split(MARKUP.sub(lambda m: " " if INLINE.match(m[0]) else "\n", text)):
-        if not segment or not TRIGGER.search(segment):
+    if "<" in text or "*" in text or "&" in text:
+        text = MARKUP.sub(lambda m: " " if INLINE.match(m[0]) else "\n", text)
+    for segment in SEGMENT.split(text):
+        bits = kinds_in(segment.lower()) if segment else 0
+        if not bits:
             continue
         bare = QUOTED.sub(" ", segment)
-        for kind, pattern in KINDS:
-            if pattern.search(bare) and not EXPLAINS.search(segment):
+        for bit, (kind, pattern) in enumerate(KINDS):
+            if bits >> bit & 1 and pattern.search(bare) and not EXPLAINS.search(segment):
                 yield kind, bool(kind in ("error", "filler") and WEAK.search(bare) and not pattern.search(WEAK.sub(" ", bare))), segment.strip()
                 break
 
@@ -182,7 +234,7 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
             )
 
     found = rows.mapInArrow(detect, f"doc_id {id_type}, kind string, weak boolean, mask string, apart boolean, share double, host string")
-    found = found.select("doc_id", "kind", "weak", "apart", "share", F.xxhash64("mask").alias("mask"), F.xxhash64("host").alias("host"))
+    found = cut_lineage(found.select("doc_id", "kind", "weak", "apart", "share", F.xxhash64("mask").alias("mask"), F.xxhash64("host").alias("host")))
     # weak sentences need evidence: one row for each sentence and host, then hosts for each sentence
     hosts = found.filter("weak").groupBy("mask", "host").agg(F.lit(1).alias("one")).groupBy("mask").agg(F.count("*").alias("hosts"))
     by_doc = found.join(hosts, "mask", "left").groupBy("doc_id").agg(
