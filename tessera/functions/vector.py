@@ -100,13 +100,14 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, dim: int = 64, exc
                 ids = b.column("id").to_pylist()
                 v = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 v = v / np.linalg.norm(v, axis=1)[:, None]
+                place: dict = {}
+                for j, x in enumerate(ids if exclude_self else ()):
+                    place.setdefault(x, []).append(j)
                 for s in range(0, len(q), 256):
                     sims = np.round(q[s : s + 256] @ v.T, 12)
                     if exclude_self:
-                        place = {x: j for j, x in enumerate(ids)}
                         for r, x in enumerate(own_ids[s : s + 256]):
-                            if x in place:
-                                sims[r, [j for j, y in enumerate(ids) if y == x] if ids.count(x) > 1 else place[x]] = -np.inf
+                            sims[r, place.get(x, [])] = -np.inf
                     floor = top_s[s : s + 256, -1]
                     for r in np.flatnonzero((sims >= floor[:, None]).any(axis=1)):
                         at = np.flatnonzero(sims[r] >= floor[r])
