@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranking import number_rows
+
 
 def without_repeats(history: DataFrame, user: str, order: list[str], text: str, last: int | None = 200) -> DataFrame:
     """Entries that differ from the one before, the ``last`` of each user; adds ``pos`` from the latest, 1 first."""
-    w = Window.partitionBy(user).orderBy(*order)
-    kept = history.withColumn("_b", F.lag(text).over(w)).filter(~F.col(text).eqNullSafe(F.col("_b")) | F.col("_b").isNull()).drop("_b")
+    placed = number_rows(history, user, order)
+    before = placed.select(F.col(user).alias("_u"), (F.col("pos") + 1).alias("_p"), F.col(text).alias("_b"))
+    joined = placed.join(before, placed[user].eqNullSafe(before["_u"]) & (placed["pos"] == before["_p"]), "left")
+    kept = joined.filter(F.col("_p").isNull() | ~F.col(text).eqNullSafe(F.col("_b"))).drop("_u", "_p", "_b", "pos", "n")
+    if last is None:
+        return number_rows(kept, user, order).withColumn("pos", F.col("n") - F.col("pos")).drop("n")
     back = Window.partitionBy(user).orderBy(*[F.desc(c) for c in order])
-    ranked = kept.withColumn("pos", F.row_number().over(back))
-    return ranked if last is None else ranked.filter(F.col("pos") <= last)
+    return kept.withColumn("pos", F.row_number().over(back)).filter(F.col("pos") <= last)
 
 
 def median_profile(df: DataFrame, group: str | None, size: Column) -> DataFrame:

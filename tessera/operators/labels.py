@@ -49,8 +49,9 @@ def object_captions(named_boxes: DataFrame, image: str = "image") -> DataFrame:
 
 def names_in_order(named_boxes: DataFrame, image: str = "image", order: str = "seq") -> DataFrame:
     """The different names of an image in the order of their boxes."""
-    listed = named_boxes.groupBy(image).agg(F.array_sort(F.collect_list(F.struct(order, "name"))).alias("l"))
-    return listed.select(image, F.array_distinct(F.transform("l", lambda x: x["name"])).alias("names"))
+    first = named_boxes.groupBy(image, "name").agg(F.min(order).alias("at"))
+    listed = first.groupBy(image).agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("l"))
+    return listed.select(image, F.transform("l", lambda x: x["name"]).alias("names"))
 
 
 def top_boxes(boxes: DataFrame, per_image: int = 2, per_class: int = 16, most_area: float | None = 0.88, keys: tuple[str, ...] = ("image", "seq")) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vector import dot, hamming, norm
+from tessera.operators.ranking import number_rows
 
 
 def evenly_spaced(members: DataFrame, group: str, order: list[str], cap: int = 64) -> DataFrame:
@@ -13,8 +14,7 @@ def evenly_spaced(members: DataFrame, group: str, order: list[str], cap: int = 6
 
     Positions are ``round(i * (n - 1) / (cap - 1))``, halves to even; each once. With a cap of one, the first.
     """
-    w = Window.partitionBy(group)
-    placed = members.withColumn("pos", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count("*").over(w))
+    placed = number_rows(members, group, order)
     if cap == 1:
         return placed.filter("pos = 0")
     step = (F.col("n") - 1) / F.lit(float(cap - 1))
@@ -30,8 +30,7 @@ def evenly_spaced(members: DataFrame, group: str, order: list[str], cap: int = 6
 
 def middle(members: DataFrame, group: str, order: list[str]) -> DataFrame:
     """The member at place n // 2 of each group."""
-    w = Window.partitionBy(group)
-    placed = members.withColumn("pos", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count("*").over(w))
+    placed = number_rows(members, group, order)
     return placed.filter(F.col("pos") == F.floor(F.col("n") / 2))
 
 

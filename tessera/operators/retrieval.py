@@ -87,11 +87,11 @@ def by_example(ids: DataFrame, store: DataFrame, k: int = 24, dim: int = 64) ->
     return nearest(asked, store.select("id", "vector"), k, dim, exclude_self=True)
 
 
-def filter_by_objects(hits: DataFrame, store: DataFrame, queries: DataFrame, required: DataFrame | None, excluded: DataFrame | None, k: int = 24) -> DataFrame:
+def filter_by_objects(hits: DataFrame, store: DataFrame, queries: DataFrame, required: DataFrame | None, excluded: DataFrame | None, k: int = 24, dim: int = 64) -> DataFrame:
     """Hits that keep to objects: all ``required`` ids pass, ``excluded`` ids don't: (query_id, id, score, fused, match, rank).
 
     ``required`` and ``excluded`` are tables of ids; None skips the filter, an empty table of required ids lets nothing pass.
-    Required ids of the store that the search didn't bring are added for every query, with their cosine and match 'graph', and
+    Records of required ids that the search didn't bring are added to each query, with their cosine and match 'graph', and
     the order is then by score; otherwise it stays by fused score.
     """
     kept = hits.select("query_id", "id", "score", "fused", "match")
@@ -99,11 +99,12 @@ def filter_by_objects(hits: DataFrame, store: DataFrame, queries: DataFrame, req
     if required is not None:
         ids = required.select("id").distinct()
         kept = kept.join(ids, "id", "left_semi")
-        asked = queries.select("query_id", F.col("vector").alias("q_vector"))
         pool = store.select("id", "vector").join(ids, "id", "left_semi")
-        # the stated queries against the records that qualify
-        more = pool.join(F.broadcast(asked) if asked.count() <= 10_000 else asked, F.lit(True)).join(kept.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        more = more.select("query_id", "id", _true_cosine().alias("score"), F.lit(0.0).alias("fused"), F.lit("graph").alias("match"))
+        if excluded is not None:
+            pool = pool.join(excluded.select("id").distinct(), "id", "left_anti")
+        # of the records that qualify, those with the highest cosine are enough, as the order will be by score
+        near = nearest(queries.select(F.col("query_id").alias("id"), "vector"), pool, k, dim).select("query_id", "id", clamp_score(F.col("score")).alias("score"), F.lit(0.0).alias("fused"), F.lit("graph").alias("match"))
+        more = near.join(kept.select("query_id", "id"), ["query_id", "id"], "left_anti")
         kept = kept.unionByName(more)
         added = F.max((F.col("match") == "graph").cast("int")).over(Window.partitionBy("query_id"))
         kept = kept.withColumn("added", added)
