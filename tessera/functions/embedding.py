@@ -10,10 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.paths import basename, parent, path_text
 from tessera.functions.text import collapse, concept_hints
-from tessera.plans.planner import TRANSLATIONS, tokens, without_particle
+from tessera.functions.text import TRANSLATIONS
+from tessera.plans.planner import tokens, without_particle
 
 SEED = 20260609  # of the projection of visual descriptors
 VISUAL = 304  # 16 x 16 grey values and 16 bins for each of three colours
@@ -172,14 +174,14 @@ def embed_images(df: DataFrame, embedder: Embedder, path_col: str = "path", batc
 
 
 def embed_texts(embedder: Embedder):
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series(list(embedder.embed_text([t or "" for t in texts])))
 
     return run
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mean_brightness(content: pd.Series) -> pd.Series:
     """Mean grey value of image files; null if they can't be read."""
 
@@ -190,7 +192,7 @@ def mean_brightness(content: pd.Series) -> pd.Series:
     return content.map(one).astype("float64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def image_dhash(content: pd.Series) -> pd.Series:
     def one(data):
         image = pixels(bytes(data)) if data is not None else None

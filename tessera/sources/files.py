@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.paths import basename, extension, parent, stem
 from tessera.functions.text import collapse
@@ -56,7 +57,7 @@ def texts(spark: SparkSession, root: str, suffixes: list[str] = SIDECAR_SUFFIXES
     return rows.select("path", parent(F.col("path")).alias("folder"), stem(F.col("path")).alias("stem"), extension(F.col("path")).alias("suffix"), "text", "seconds")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def json_caption(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The caption in a JSON object: the first known key that holds a string, else all strings in a row; other texts stay as they are."""
 
