@@ -81,7 +81,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, dim: int = 64, exc
     count = asked.count()
     blocks = max(1, -(-count // block_rows))
     schema = f"query_id {q_type}, id {r_type}, score double"
-    found = spark.createDataFrame([], schema)
+    found = None
     for n in range(blocks):
         own = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n)).toArrow()
         if not own.num_rows:
@@ -123,7 +123,10 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, dim: int = 64, exc
             cols = list(zip(*out)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], q_ids.type), pa.array(cols[1], _arrow(r_type)), pa.array(cols[2], pa.float64())], names=["query_id", "id", "score"])
 
-        found = found.unionByName(held.mapInArrow(best, schema))
+        one = held.mapInArrow(best, schema)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -66,11 +66,11 @@ def hybrid_search(queries: DataFrame, store: DataFrame, index: LexicalIndex, k:
     member_count, sidecar_text).
     """
     fan = fan_out(k)
-    vectors = nearest(queries.select(F.col("query_id").alias("id"), "vector"), store.select("id", "vector"), fan, dim).select("query_id", "id", "rank", F.lit("v").alias("arm"))
-    words = bm25(index, queries, fan).select("query_id", "id", "rank", F.lit("k").alias("arm"))
-    votes = vectors.unionByName(words)
-    fused = votes.groupBy("query_id", "id").agg(
-        F.round(F.sum(F.lit(1.0) / (RRF + F.col("rank"))), 12).alias("fused"), F.bool_or(F.col("arm") == "v").alias("in_v"), F.bool_or(F.col("arm") == "k").alias("in_k")
+    vectors = nearest(queries.select(F.col("query_id").alias("id"), "vector"), store.select("id", "vector"), fan, dim).select("query_id", "id", F.col("rank").alias("rank_v"))
+    words = bm25(index, queries, fan).select("query_id", "id", F.col("rank").alias("rank_k"))
+    vote = lambda c: F.coalesce(F.lit(1.0) / (RRF + F.col(c)), F.lit(0.0))
+    fused = vectors.join(words, ["query_id", "id"], "full_outer").select(
+        "query_id", "id", F.round(vote("rank_v") + vote("rank_k"), 12).alias("fused"), F.col("rank_v").isNotNull().alias("in_v"), F.col("rank_k").isNotNull().alias("in_k")
     )
     return _scored(_top(fused, k).withColumn("match", provenance(F.col("in_v"), F.col("in_k"))).drop("in_v", "in_k"), queries, store)
 
