@@ -28,7 +28,7 @@ SQL = {
     "p1_found": """
 WITH usable AS (SELECT representative_image AS id, arg_max(embedding, indexed_at)::DOUBLE[64] AS v FROM store_rows
                 WHERE representative_image IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = 64
-                  AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
                 GROUP BY 1),
 near AS (SELECT a.id AS a, b.id AS b, array_cosine_similarity(a.v, b.v) AS s FROM usable a JOIN usable b ON a.id <> b.id WHERE array_cosine_similarity(a.v, b.v) >= 0.92),
 ranked AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM near)
