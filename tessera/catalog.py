@@ -15,7 +15,7 @@ from tessera.functions import paths as P
 from tessera.functions import text as X
 from tessera.functions import vector as V
 from tessera.operators import graph, history, indexing, labels, lexical, representative, retrieval
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, spread
 from tessera.session import read_table as table
 
 QUERIES: dict = {}
@@ -50,6 +50,10 @@ CURRENT = """cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id
   FROM store_rows WHERE id IS NOT NULL) WHERE r = 1)"""
 
 
+def documents(spark, d) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def search_store(spark, d) -> DataFrame:
     return store_rows(spark, d).select(
         "id", F.col("embedding").alias("vector"), "document", "caption", F.col("leaf_folder").alias("folder"), F.col("representative_image").alias("image_path"), "member_count", "sidecar_text"
@@ -161,14 +165,14 @@ def vector_truncate(spark, d):
 @query(f"WITH docs0 AS (SELECT doc_id AS id, text FROM documents), {SYNONYMS}, {lexical_sql('docs0', 't')} SELECT term, count(DISTINCT id) AS df, count(*) AS uses FROM t GROUP BY 1")
 def tokenize_df(spark, d):
     """Document frequency and uses of the tokens of all documents, forms and translations included."""
-    counts = lexical.term_counts(table(spark, d, "documents"), "doc_id", "text").filter(F.col("term") != X.EMPTY)
+    counts = lexical.term_counts(documents(spark, d), "doc_id", "text").filter(F.col("term") != X.EMPTY)
     return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("uses"))
 
 
 @query(f"""WITH docs AS (SELECT doc_id AS id, text FROM documents), asked AS (SELECT item_id AS query_id, text FROM eval_items WHERE item_id % 50 = 0), {SYNONYMS}, {bm25_sql(10)}
 SELECT term, df, round(idf, 6) AS idf FROM idf""")
 def bm25_idf(spark, d):
-    idf = lexical.term_idf(lexical.term_counts(table(spark, d, "documents"), "doc_id", "text"))
+    idf = lexical.term_idf(lexical.term_counts(documents(spark, d), "doc_id", "text"))
     return idf.select("term", "df", six(F.col("idf")).alias("idf"))
 
 
@@ -176,7 +180,7 @@ def bm25_idf(spark, d):
 SELECT query_id, id AS doc_id, rank::INT AS rank, round(s, 6) AS score, overlap FROM arm_k""")
 def bm25_topk(spark, d):
     """The 50 best documents for each question by BM25."""
-    index = lexical.build_index(table(spark, d, "documents"), "doc_id", "text")
+    index = lexical.build_index(documents(spark, d), "doc_id", "text")
     q = table(spark, d, "eval_items").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), "text")
     return lexical.bm25(index, q, 50).select("query_id", F.col("id").alias("doc_id"), F.col("rank").cast("int").alias("rank"), six(F.col("score")).alias("score"), "overlap")
 
@@ -563,7 +567,7 @@ c AS (SELECT DISTINCT doc_id, coalesce(a.concept, b.concept) AS concept FROM st
 SELECT concept, count(*) AS n_docs FROM c WHERE concept IS NOT NULL GROUP BY 1""")
 def concept_counts(spark, d):
     """Documents that name each concept."""
-    rows = table(spark, d, "documents").select("doc_id", F.explode(X.concept_hints(F.col("text"))).alias("concept"))
+    rows = documents(spark, d).select("doc_id", F.explode(X.concept_hints(F.col("text"))).alias("concept"))
     return rows.groupBy("concept").agg(F.count("*").alias("n_docs"))
 
 

@@ -36,6 +36,7 @@ CONCEPTS = {
 }
 
 TOKEN = "[0-9A-Za-z가-힣]+"
+LATIN = "^[0-9A-Za-z]+$"
 STEM = "^(.+?)(?:" + "|".join(sorted(PARTICLES, key=lambda p: (-len(p), p))) + ")$"
 EMPTY = "∅"  # the one token of a document without tokens
 
@@ -52,7 +53,7 @@ def _lookup(table: dict, key: Column) -> Column:
 def tokenize(text: Column) -> Column:
     """Runs of digits, Latin letters and Hangul; ASCII ones in lower case; without stopwords. Null gives none."""
     runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0)
-    lowered = F.transform(runs, lambda t: F.when(t.rlike("^[0-9A-Za-z]+$"), F.lower(t)).otherwise(t))
+    lowered = F.transform(runs, lambda t: F.when(t.rlike(LATIN), F.lower(t)).otherwise(t))
     return F.filter(lowered, lambda t: ~t.isin(STOPWORDS))
 
 
@@ -66,20 +67,24 @@ def char_ngrams(token: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.substring(token, i, F.lit(n)))
 
 
-def translations(token: Column) -> Column:
-    """What the token and the token without particle translate to; twice if they are the same."""
-    none = _strings()
-    return F.concat(F.coalesce(_lookup(TRANSLATIONS, token), none), F.coalesce(_lookup(TRANSLATIONS, strip_particle(token)), none))
+def _forms(text: Column) -> Column:
+    """Tokens of a text as (t, s): the token and its form without particle. Only Hangul has particles."""
+    return F.transform(tokenize(text), lambda t: F.struct(t.alias("t"), F.when(t.rlike(LATIN), t).otherwise(strip_particle(t)).alias("s")))
+
+
+def _translations(form: Column) -> Column:
+    """What the token and the form without particle translate to; twice if they are the same. All keys are Hangul."""
+    found = F.concat(F.coalesce(_lookup(TRANSLATIONS, form["t"]), _strings()), F.coalesce(_lookup(TRANSLATIONS, form["s"]), _strings()))
+    return F.when(form["t"].rlike(LATIN), _strings()).otherwise(found)
 
 
 def lexical_tokens(text: Column) -> Column:
     """Tokens for keyword search: each token, its form without particle if another, and the translations."""
 
-    def spread(t: Column) -> Column:
-        stem = strip_particle(t)
-        return F.concat(F.array(t), F.when(stem != t, F.array(stem)).otherwise(_strings()), translations(t))
+    def spread(x: Column) -> Column:
+        return F.when(x["t"].rlike(LATIN), F.array(x["t"])).otherwise(F.concat(F.array_distinct(F.array(x["t"], x["s"])), _translations(x)))
 
-    return F.flatten(F.transform(tokenize(text), spread))
+    return F.flatten(F.transform(_forms(text), spread))
 
 
 def expand_query(text: Column) -> Column:
@@ -90,7 +95,7 @@ def expand_query(text: Column) -> Column:
 
 def concept_hints(text: Column) -> Column:
     """Concepts that a text names, each once, in order."""
-    hits = F.transform(tokenize(text), lambda t: F.coalesce(_lookup(CONCEPTS, t), _lookup(CONCEPTS, strip_particle(t))))
+    hits = F.transform(_forms(text), lambda x: F.coalesce(_lookup(CONCEPTS, x["t"]), F.when(x["s"] != x["t"], _lookup(CONCEPTS, x["s"]))))
     return F.array_distinct(F.filter(hits, lambda c: c.isNotNull()))
 
 
@@ -100,17 +105,17 @@ def feature_tokens(text: Column) -> Column:
     def feature(kind: str, weight: float):
         return lambda x: F.struct(F.concat(F.lit(kind), x).alias("feature"), F.lit(weight).alias("weight"))
 
-    def spread(t: Column) -> Column:
-        stem = strip_particle(t)
+    def spread(x: Column) -> Column:
+        t, stem = x["t"], x["s"]
         return F.concat(
             F.transform(F.array(t), feature("w:", 3.0)),
             F.transform(F.when(stem != t, F.array(stem)).otherwise(_strings()), feature("w:", 2.0)),
-            F.transform(translations(t), feature("w:", 2.0)),
+            F.transform(_translations(x), feature("w:", 2.0)),
             F.transform(char_ngrams(t, 2), feature("g2:", 1.0)),
             F.transform(char_ngrams(t, 3), feature("g3:", 0.7)),
         )
 
-    return F.flatten(F.transform(tokenize(text), spread))
+    return F.flatten(F.transform(_forms(text), spread))
 
 
 def hash_bucket(feature: Column, dim: int) -> Column:

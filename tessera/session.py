@@ -47,3 +47,12 @@ def task_count(spark: SparkSession) -> int:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan of fewer partitions than there are cores, spread over them; others stay as they are.
+
+    For expensive work per row on small tables. Pass a scan with its columns chosen, no plan that shuffles.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
