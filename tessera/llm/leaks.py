@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import read_table
+from tessera.session import read_table, spread
 
 WORD = re.compile(r"[^\W_]+")
 COMMENT = re.compile(r"<!--.*?-->", re.S)
@@ -235,4 +235,4 @@ def without_leaks(docs: DataFrame, leaks: DataFrame, doc_id: str = "doc_id") ->
 
 def p7_found(spark, sf_dir: str) -> DataFrame:
     """Documents that carry at least ten consecutive words of an evaluation item."""
-    return leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    return leaked_items(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), read_table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage, read_table, task_count
+from tessera.session import cut_lineage, read_table, spread, task_count
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
@@ -187,7 +187,7 @@ def pack_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
 
 def p6_packed(spark, sf_dir: str) -> DataFrame:
     """The documents in containers of 2,048 tokens."""
-    return pack_texts(read_table(spark, sf_dir, "documents"))
+    return pack_texts(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def p6_unused(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage, read_table
+from tessera.session import cut_lineage, read_table, spread
 
 _NAME = r"[^\W\d][\w .-]{0,40}?"
 _UNSET = r"(?:undefined|NaN|null|None|nil|none|unknown|N/A|\[object Object\])"
@@ -253,4 +253,4 @@ def without_residue(df: DataFrame, id_col: str = "doc_id", **options) -> DataFra
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
     """Documents with unfilled placeholders, unset values, filler, error messages or script notices."""
-    return residue(read_table(spark, sf_dir, "documents")).select("doc_id")
+    return residue(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))).select("doc_id")
