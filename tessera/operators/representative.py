@@ -53,11 +53,11 @@ def medoid(sample: DataFrame, group: str, pos: str, bits: str) -> DataFrame:
 
     ``sample`` is capped (see :func:`evenly_spaced`), so a group has few pairs. Null hashes are left out.
     """
-    mine = sample.filter(F.col(bits).isNotNull()).select(group, F.col(pos).alias("a"), F.col(bits).alias("x"))
-    others = mine.select(F.col(group).alias("g"), F.col("x").alias("y"))
-    sums = mine.join(others, mine[group] == F.col("g")).groupBy(group, "a").agg(F.sum(hamming(F.col("x"), F.col("y"))).alias("d"))
-    best = sums.groupBy(group).agg(F.min(F.struct("d", "a")).alias("b"))
-    return best.select(group, F.col("b.a").alias(pos), F.col("b.d").alias("distance"))
+    mine = sample.filter(F.col(bits).isNotNull()).select(group, F.col(pos).alias("_a"), F.col(bits).alias("_x"))
+    others = mine.select(F.col(group).alias("_other"), F.col("_x").alias("_y"))
+    sums = mine.join(others, mine[group].eqNullSafe(others["_other"])).groupBy(group, "_a").agg(F.sum(hamming(F.col("_x"), F.col("_y"))).alias("_d"))
+    best = sums.groupBy(group).agg(F.min(F.struct("_d", "_a")).alias("_b"))
+    return best.select(group, F.col("_b._a").alias(pos), F.col("_b._d").alias("distance"))
 
 
 def representatives(members: DataFrame, group: str, key: str, order: list[str], vector: str | None = None, bits: str | None = None, cap: int = 64) -> DataFrame:
@@ -67,21 +67,21 @@ def representatives(members: DataFrame, group: str, key: str, order: list[str],
     else the one in the middle. Members without vector or hash don't take part in that choice.
     """
     sample = evenly_spaced(members, group, order, cap)
-    size = members.groupBy(group).agg(F.count("*").alias("member_count"), F.min(key).alias("any"))
+    size = members.groupBy(group).agg(F.count("*").alias("member_count"), F.min(key).alias("_any"))
     # the middle is that of the sample
     mid = Window.partitionBy(group)
     found = size.join(
-        sample.withColumn("r", F.row_number().over(mid.orderBy("pos")) - 1).withColumn("m", F.count("*").over(mid)).filter(F.col("r") == F.floor(F.col("m") / 2)).select(group, F.col(key).alias("middle")), group, "left"
+        sample.withColumn("r", F.row_number().over(mid.orderBy("pos")) - 1).withColumn("m", F.count("*").over(mid)).filter(F.col("r") == F.floor(F.col("m") / 2)).select(group, F.col(key).alias("_middle")), group, "left"
     )
     if vector:
-        found = found.join(centroid(sample.filter(F.col(vector).isNotNull()), group, key, vector).select(group, F.col(key).alias("center")), group, "left")
+        found = found.join(centroid(sample.filter(F.col(vector).isNotNull()), group, key, vector).select(group, F.col(key).alias("_center")), group, "left")
     else:
-        found = found.withColumn("center", F.lit(None))
+        found = found.withColumn("_center", F.lit(None))
     if bits:
-        hashed = medoid(sample, group, "pos", bits).select(group, "pos").join(sample.select(group, "pos", F.col(key).alias("medoid")), [group, "pos"]).drop("pos")
+        hashed = medoid(sample, group, "pos", bits).select(group, "pos").join(sample.select(group, "pos", F.col(key).alias("_medoid")), [group, "pos"]).drop("pos")
         found = found.join(hashed, group, "left")
     else:
-        found = found.withColumn("medoid", F.lit(None))
-    method = F.when(F.col("member_count") == 1, "only").when(F.col("center").isNotNull(), "centroid").when(F.col("medoid").isNotNull(), "dhash-medoid").otherwise("middle")
-    chosen = F.when(F.col("member_count") == 1, F.col("any")).otherwise(F.coalesce("center", "medoid", "middle"))
+        found = found.withColumn("_medoid", F.lit(None))
+    method = F.when(F.col("member_count") == 1, "only").when(F.col("_center").isNotNull(), "centroid").when(F.col("_medoid").isNotNull(), "dhash-medoid").otherwise("middle")
+    chosen = F.when(F.col("member_count") == 1, F.col("_any")).otherwise(F.coalesce("_center", "_medoid", "_middle"))
     return found.select(group, chosen.alias(key), "member_count", method.alias("method"))

@@ -52,8 +52,8 @@ def leaf_folders(found: DataFrame) -> DataFrame:
 def texts(spark: SparkSession, root: str, suffixes: list[str] = SIDECAR_SUFFIXES) -> DataFrame:
     """Text files under ``root``: (path, folder, stem, suffix, text, seconds)."""
     glob = "*{" + ",".join(suffixes) + "}"
-    rows = spark.read.option("recursiveFileLookup", True).option("wholetext", True).option("pathGlobFilter", glob).text(root)
-    rows = rows.select(plain_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"), (F.unix_micros("_metadata.file_modification_time") / 1e6).alias("seconds"))
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    rows = rows.select(plain_path(F.col("path")).alias("path"), F.col("content").cast("string").alias("text"), (F.unix_micros("modificationTime") / 1e6).alias("seconds"))
     return rows.select("path", parent(F.col("path")).alias("folder"), stem(F.col("path")).alias("stem"), extension(F.col("path")).alias("suffix"), "text", "seconds")
 
 
