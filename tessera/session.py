@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,3 +59,19 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+@functools.cache
+def _ship(application: str, sc) -> None:
+    here = os.path.dirname(os.path.abspath(__file__))
+    at = tempfile.mkdtemp(prefix="tessera-package-")  # the driver serves it from here as long as it runs
+    atexit.register(shutil.rmtree, at, True)
+    name = os.path.basename(here)
+    shutil.copytree(here, f"{at}/root/{name}", ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
+    sc.addPyFile(shutil.make_archive(f"{at}/{name}", "zip", f"{at}/root"))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the workers of a session, once: they may not find it where the driver does."""
+    _ship(spark.sparkContext.applicationId, spark.sparkContext)
+    return spark
