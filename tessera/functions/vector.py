@@ -91,37 +91,41 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, dim: int = 64, exc
         q = q / np.linalg.norm(q, axis=1)[:, None]
 
         def best(batches, q=q, q_ids=q_ids):
-            top_s = np.full((len(q), k), -np.inf)
-            top_i: list[list] = [[None] * k for _ in range(len(q))]
-            own_ids = q_ids.to_pylist()
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                ids = b.column("id").to_pylist()
-                v = b.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+            asked_ids = q_ids.to_numpy(zero_copy_only=False)
+            score, ids = np.zeros((len(q), 0)), np.zeros((len(q), 0), dtype=np.int64)
+            names = None
+
+            def merge(part: pa.Table):
+                nonlocal score, ids, names
+                own = part.column("id").combine_chunks().to_numpy(zero_copy_only=False)
+                order = np.argsort(own, kind="stable")
+                own = own[order]
+                v = part.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[order]
                 v = v / np.linalg.norm(v, axis=1)[:, None]
-                place: dict = {}
-                for j, x in enumerate(ids if exclude_self else ()):
-                    place.setdefault(x, []).append(j)
-                for s in range(0, len(q), 256):
-                    sims = np.round(q[s : s + 256] @ v.T, 12)
-                    if exclude_self:
-                        for r, x in enumerate(own_ids[s : s + 256]):
-                            sims[r, place.get(x, [])] = -np.inf
-                    floor = top_s[s : s + 256, -1]
-                    for r in np.flatnonzero((sims >= floor[:, None]).any(axis=1)):
-                        at = np.flatnonzero(sims[r] >= floor[r])
-                        if len(at) > 4 * k:
-                            cut = np.partition(sims[r][at], len(at) - k)[len(at) - k]
-                            at = at[sims[r][at] >= cut]
-                        both = [(-x, i) for x, i in zip(top_s[s + r], top_i[s + r]) if i is not None] + [(-sims[r, j], ids[j]) for j in at if sims[r, j] > -np.inf]
-                        both.sort()
-                        both = both[:k]
-                        top_s[s + r, : len(both)] = [-x for x, _ in both]
-                        top_i[s + r][: len(both)] = [i for _, i in both]
-            out = [(own_ids[r], top_i[r][c], float(top_s[r, c])) for r in range(len(q)) for c in range(k) if top_i[r][c] is not None]
-            cols = list(zip(*out)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], q_ids.type), pa.array(cols[1], _arrow(r_type)), pa.array(cols[2], pa.float64())], names=["query_id", "id", "score"])
+                s, i = _top(np.round(q @ v.T, 12), k, own, asked_ids if exclude_self else None)
+                # what was kept before and what is new, numbered by the order of their ids
+                names, place = np.unique(own if names is None else np.concatenate([names, own]), return_inverse=True)
+                ids = place[: len(place) - len(own)][ids] if ids.shape[1] else ids
+                score, ids = np.concatenate([score, s], axis=1), np.concatenate([ids, place[len(place) - len(own) :][i]], axis=1)
+                row = np.repeat(np.arange(len(q)), score.shape[1])
+                by = np.lexsort((ids.ravel(), -score.ravel(), row)).reshape(score.shape)[:, :k]
+                score, ids = score.ravel()[by], ids.ravel()[by]
+                used, ids_ = np.unique(ids, return_inverse=True)
+                names, ids = names[used], ids_.reshape(ids.shape)
+
+            held_rows: list[pa.RecordBatch] = []
+            size = 0
+            for b in batches:
+                held_rows.append(b)
+                size += b.num_rows
+                if size >= 8192:
+                    merge(pa.Table.from_batches(held_rows))
+                    held_rows, size = [], 0
+            if size:
+                merge(pa.Table.from_batches(held_rows))
+            row, column = np.nonzero(score > -np.inf)
+            if len(row):
+                yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(row)), pa.array(names[ids[row, column]], _arrow(r_type)), pa.array(score[row, column])], names=["query_id", "id", "score"])
 
         one = held.mapInArrow(best, schema)
         found = one if found is None else found.unionByName(one)
@@ -131,5 +135,21 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, dim: int = 64, exc
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _top(sims: np.ndarray, k: int, ids: np.ndarray, asked: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and columns of the ``k`` greatest of each row, the first of equal ones; ``ids`` that equal ``asked`` count as missing."""
+    if asked is not None:
+        left, right = np.searchsorted(ids, asked, "left"), np.searchsorted(ids, asked, "right")
+        for r in np.flatnonzero(right > left):
+            sims[r, left[r] : right[r]] = -np.inf
+    if sims.shape[1] <= k:
+        at = np.tile(np.arange(sims.shape[1]), (len(sims), 1))
+        return sims, at
+    at = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(sims, at, axis=1).min(axis=1)
+    for r in np.flatnonzero((sims >= least[:, None]).sum(axis=1) > k):  # equal scores at the edge
+        at[r] = np.argsort(-sims[r], kind="stable")[:k]
+    return np.take_along_axis(sims, at, axis=1), at
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[kind]
