@@ -90,3 +90,10 @@ def class_list(ids: DataFrame, names: DataFrame) -> DataFrame:
     both = ids.select("cid", "n").join(names.select("cid", "name"), "cid", "full_outer").select("cid", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("name", F.lit("")).alias("name"))
     digits = F.col("cid").cast("string").rlike(r"^\d+$")
     return both.orderBy((~digits).cast("int"), F.expr("try_cast(cid AS bigint)"), F.col("cid").cast("string"))
+
+
+def label_file_split(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """How many text files are label files, how many aren't, how many are empty."""
+    blank = F.trim(F.coalesce(text_col, F.lit(""))) == ""
+    yolo = is_yolo_text(F.col(text_col))
+    return texts.agg(F.count_if(yolo).alias("labels"), F.count_if(~yolo & ~blank).alias("texts"), F.count_if(blank).alias("empty"))
