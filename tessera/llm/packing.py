@@ -139,7 +139,8 @@ def pack_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     range-partitioned sort by length. So a length that a third of all texts have lies in many tasks.
     """
     spark = df.sparkSession
-    counts = token_counts(df, id_col, text_col, vocabulary).filter("n_tokens is not null")
+    # range partitioning reads its input twice: the tokens are counted once
+    counts = cut_lineage(token_counts(df, id_col, text_col, vocabulary).filter("n_tokens is not null"))
     parts = F.when(F.col("n_tokens") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / capacity)))
     items = counts.select("doc_id", "n_tokens", F.explode(parts).alias("part")).select(
         "doc_id", "part", (F.col("part") * capacity).alias("first_token"), F.least(F.col("n_tokens") - F.col("part") * capacity, F.lit(capacity)).cast("long").alias("n_tokens")
