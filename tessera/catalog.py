@@ -365,7 +365,7 @@ def crop_rects(spark, d):
     return boxes(spark, d).select("image", "seq", labels.class_hue(F.col("cid")).alias("hue"), *labels.pixel_rect(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), *size, pad=0.02))
 
 
-@query("SELECT l_orderkey AS image, count(*) AS n, sum((l_partkey % 600)::INT) AS cids, round(sum(l_quantity), 4) AS w FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey AS image, count(*) AS n, sum((l_partkey % 600)::INT)::BIGINT AS cids, round(sum(l_quantity), 4) AS w FROM lineitem GROUP BY 1")
 def yolo_roundtrip(spark, d):
     """Label texts written from boxes and parsed again."""
     rows = table(spark, d, "lineitem").select(
@@ -640,7 +640,7 @@ def dataset_profile(spark, d):
     return history.median_profile(table(spark, d, "documents"), "source", F.col("n_chars"))
 
 
-@query("SELECT len(string_split(trim(replace(path, '\\', '/'), '/'), '/')) AS depth, count(*) AS n, count(*) FILTER (sidecar_text IS NOT NULL AND sidecar_text <> '') AS with_text, sum(len(image_paths)) AS images FROM (SELECT DISTINCT * FROM leaf_folders) WHERE path IS NOT NULL GROUP BY 1".replace("\\\\", "\\"))
+@query("SELECT len(string_split(trim(replace(path, '\\', '/'), '/'), '/')) AS depth, count(*) AS n, count(*) FILTER (sidecar_text IS NOT NULL AND sidecar_text <> '') AS with_text, sum(len(image_paths))::BIGINT AS images FROM (SELECT DISTINCT * FROM leaf_folders) WHERE path IS NOT NULL GROUP BY 1".replace("\\\\", "\\"))
 def depth_histogram(spark, d):
     """Folders by depth: how many, how many with text, images."""
     rows = table(spark, d, "leaf_folders").distinct().filter("path is not null")
