@@ -20,6 +20,7 @@ CLOSED = re.compile(r"(?:[.!?。！？؟।][\"”’»›」』)\]'*_`]*|[)\]
 TOKEN = re.compile(r"[^\W_]+(?:[’'.:/_-][^\W_]+)*|[^\w\s]|_")
 SENTENCE = re.compile(r"(?<=[.!?。！？])[\"”’»」』)]*\s+|(?<=[。！？])|\n+")
 STOP = ".!?。！？"
+GO_ON = re.compile(r"[ \t]*(?:[,;:、，&/+–—-]|[^\W_]|[(\[«“‘\"'「『]\w)")  # more of the same sentence
 GRAMS = 6
 START = "^"  # stands before the first token of a sentence
 
@@ -71,6 +72,41 @@ def describe(text: str) -> tuple[bool, bool, str, list[str]]:
     return bool(m), open_, body, last[-GRAMS:] if len(last) > 1 else []
 
 
+def body_key(body: str) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(body.encode("utf-8", "replace")))
+
+
+def beginnings(text: str) -> list[int]:
+    """The keys of all beginnings of a text, the empty one first and the text itself left out."""
+    hasher, keys = xxhash.xxh3_64(), []
+    for c in text:
+        keys.append(_signed(hasher.intdigest()))
+        hasher.update(c.encode("utf-8", "replace"))
+    return keys
+
+
+def common(a: str, b: str, most: int) -> int:
+    """How many characters two texts begin alike with, ``most`` at the most."""
+    most = min(most, len(a), len(b))
+    if a[:most] == b[:most]:
+        return most
+    low = 0
+    while most - low > 1:
+        mid = (low + most) // 2
+        low, most = (mid, most) if a[:mid] == b[:mid] else (low, mid)
+    return low
+
+
+def goes_on_with(text: str, end: int) -> str | None:
+    """How a text goes on after its first ``end`` characters: within the word, within the phrase, or not within the sentence (None)."""
+    if not 0 < end < len(text):
+        return None
+    if text[end].isalnum():
+        return "word"
+    m = GO_ON.match(text, end)
+    return "phrase" if m else None
+
+
 def contexts(bodies: list[str], cut: list[bool]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the runs of 1 to GRAMS tokens of some texts, and how often each goes on, ends closed, ends open, or is cut short of a longer word.
 
@@ -144,15 +180,16 @@ def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: s
 
     - ``mark``: a sign such as an ellipsis stands in for the end;
     - ``limit``: many open values of the source have just this length, in characters or in bytes, and few a length near it;
-    - ``copy``: the value is a strict prefix of a longer value, which goes on within the word;
+    - ``copy``: the value is a strict prefix of a longer value, which goes on within the word, or goes on within the
+      sentence after tokens that seldom end anything; that holds for every source, punctuated or not;
     - ``prefix``: its last tokens are a prefix of what stands elsewhere, where they are followed by more, or by
       the rest of the word, and hardly ever end a sentence. In sources whose values usually are closed (less than
       ``usual`` are open), that tokens aren't known to end a sentence is enough.
 
     A value that stops at the end of a sentence is none, nor one whose last tokens mostly end a sentence or an
     open value. The runs of up to six last tokens are joined by hash with those of all values, counted per
-    batch before the shuffle; longer values are found by sorting all values, where a prefix is followed by its
-    continuation. Values read in a wrong encoding are repaired first (see :mod:`tessera.llm.encoding`, which
+    batch before the shuffle; longer values are found by sorting all values, where a prefix is followed by all its
+    continuations. Values read in a wrong encoding are repaired first (see :mod:`tessera.llm.encoding`, which
     ``sample`` is for). Numbers are alike.
 
     Null ids, null, empty and blank values have no rows; values without source count as one source. Repeated
@@ -175,17 +212,17 @@ def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: s
                 mark, open_, body, last = describe(fixed)
                 keys = run_keys(last)
                 wide = not fixed[-12:].isascii()
-                out.append((mark, open_, body, keys, len(fixed), len(fixed.encode("utf-8", "replace")), wide, "," in last[-4:-1]))
-            cols = list(zip(*out)) if out else [[]] * 8
-            kinds = [pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_(), pa.bool_()]
+                out.append((mark, open_, body, keys, len(fixed), len(fixed.encode("utf-8", "replace")), wide, "," in last[-4:-1], body_key(body)))
+            cols = list(zip(*out)) if out else [[]] * 9
+            kinds = [pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("field"), b.column("source"), b.column("row_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                names=["field", "source", "row_id", "mark", "open", "body", "keys", "chars", "bytes", "wide", "listed"],
+                names=["field", "source", "row_id", "mark", "open", "body", "keys", "chars", "bytes", "wide", "listed", "body_key"],
             )
 
     # the work is in the characters, not in the bytes that adaptive execution goes by
     tasks = task_count(spark)
-    values = cut_lineage(rows.repartition(tasks).mapInArrow(prepare, "field string, source string, row_id long, mark boolean, open boolean, body string, keys array<long>, chars long, bytes long, wide boolean, listed boolean"))
+    values = cut_lineage(rows.repartition(tasks).mapInArrow(prepare, "field string, source string, row_id long, mark boolean, open boolean, body string, keys array<long>, chars long, bytes long, wide boolean, listed boolean, body_key long"))
     values = values.withColumn("src", F.coalesce("source", F.lit("")))
 
     # lengths at which many open values end
@@ -214,27 +251,35 @@ def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: s
     ends = plain.select("field", "row_id", F.posexplode("keys").alias("n", "key"))
     stats = ends.join(seen, "key").groupBy("field", "row_id").agg(F.array_sort(F.collect_list(F.struct("n", "on", "closed", F.greatest(F.col("ends") - 1, F.lit(0)).alias("ends"), "longer"))).alias("runs"))
 
-    # values that go on elsewhere: sorted, a prefix comes right before its continuation
+    # values that go on elsewhere: sorted, a prefix comes before all its continuations
     def follow(batches):
-        before, first = None, None
+        first, shared, begins = None, 0, []
+        said: set[tuple[int, str]] = set()  # of the first text's beginnings, by their length
+        open_values: list[tuple[str, set[str]]] = []  # those that the last text goes on from, or is
         for b in batches:
             out = []
             for text in b.column("body").to_pylist():
                 if first is None:
-                    first = text
-                    out.append((text, None, "first"))
-                if before is not None and before != text and text.startswith(before):
-                    out.append((before, text[len(before)], "copy"))
-                before = text
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()) for k in range(3)], names=["body", "next", "what"])
-        if before is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([before]), pa.array([None], pa.string()), pa.array(["last"])], names=["body", "next", "what"])
-
-    ordered = bodies.select("body").repartitionByRange(tasks, "body").sortWithinPartitions("body").mapInArrow(follow, "body string, next string, what string").withColumn("task", F.spark_partition_id())
-    pieces = cut_lineage(ordered)
-    edge = pieces.filter("what = 'last'").select("task", "body").join(pieces.filter("what = 'first'").select((F.col("task") - 1).alias("task"), F.col("body").alias("after")), "task")
-    edge = edge.filter(F.col("after").startswith(F.col("body")) & (F.col("after") != F.col("body"))).select("body", F.expr("substr(after, length(body) + 1, 1)").alias("next"))
-    copies = pieces.filter("what = 'copy'").select("body", "next").unionByName(edge).filter(F.col("next").rlike(r"^[\p{L}\p{N}]")).select("body").distinct().withColumn("goes_on", F.lit(True))
+                    # values of earlier tasks that go on here are beginnings of this task's first text
+                    first, shared, begins = text, len(text), beginnings(text)
+                    out += [(key, kind) for n, key in enumerate(begins) if (kind := goes_on_with(text, n))]
+                else:
+                    shared = common(first, text, shared)
+                    if (kind := goes_on_with(text, shared)) and (shared, kind) not in said and shared < len(first):
+                        said.add((shared, kind))
+                        out.append((begins[shared], kind))
+                while open_values and not text.startswith(open_values[-1][0]):
+                    open_values.pop()
+                for value, kinds in open_values:
+                    if (kind := goes_on_with(text, len(value))) and kind not in kinds:
+                        kinds.add(kind)
+                        out.append((body_key(value), kind))
+                if not open_values or open_values[-1][0] != text:
+                    open_values.append((text, set()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string())], names=["body_key", "next"])
+
+    ordered = bodies.select("body").repartitionByRange(tasks, "body").sortWithinPartitions("body").mapInArrow(follow, "body_key long, next string")
+    copies = ordered.groupBy("body_key").agg(F.max(F.col("next") == "word").alias("in_word"), F.max(F.col("next") == "phrase").alias("in_phrase"))
 
     style = values.join(at_limit, ["field", "row_id"], "left").groupBy("field", "src").agg(F.avg((F.col("open") & ~F.col("mark") & F.col("at_limit").isNull()).cast("double")).alias("open_share"))
 
@@ -242,12 +287,20 @@ def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: s
     def total(r: Column) -> Column:
         return r["on"] + r["closed"] + r["ends"] + r["longer"]
 
+    def most_ends(r: Column) -> Column:
+        """Upper bound (Wilson's, 95 %) of the share of a run's occurrences that end a sentence or a value."""
+        n, x, z = F.greatest(total(r), F.lit(1)), r["closed"] + r["ends"], 1.645
+        share = x / n
+        return (share + z * z / (2 * n) + z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
     known = F.try_element_at(F.filter("runs", lambda r: total(r) >= 3), F.lit(-1))
     # the last token is no word by itself, and after the word before it stands a longer one
     stump = F.exists("runs", lambda r: (r["n"] == 0) & (r["longer"] >= 0.9 * total(r)))
     part = stump & F.exists("runs", lambda r: (r["n"] == 1) & (r["longer"] >= 10 * (r["on"] + r["closed"] + r["ends"]) + 3))
     complete = F.coalesce(((F.col("known.closed") + F.col("known.ends")) >= 0.5 * total(F.col("known"))) & ~part, F.lit(False))
     goes_on = F.exists("runs", lambda r: (total(r) >= 100) & (r["closed"] + r["ends"] <= 0.005 * total(r)) & ((r["n"] >= 2) | ((r["n"] == 0) & (r["longer"] >= 0.9 * total(r)))))
+    # with a copy that goes on after the word, some run must seldom end
+    seldom = F.coalesce(F.exists("runs", lambda r: most_ends(r) <= F.when(r["n"] >= 2, 0.1).otherwise(0.02)), F.lit(False))
     # a list may end after any of its items
     never = F.coalesce(goes_on, F.lit(False)) & ~complete & (~F.col("listed") | F.coalesce(stump, F.lit(False)))
     judged = (
@@ -255,13 +308,14 @@ def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: s
         .join(at_limit, ["field", "row_id"], "left")
         .join(stats, ["field", "row_id"], "left")
         .join(style, ["field", "src"], "left")
-        .join(copies, "body", "left")
+        .join(copies, "body_key", "left")
         .withColumn("known", known)
     )
     reason = (
         F.when(F.col("mark"), "mark")
         .when(F.col("at_limit"), "limit")
-        .when(F.col("goes_on") & ~complete & (F.col("open_share") < 0.9), "copy")
+        .when(F.col("in_word") & ~complete, "copy")
+        .when(F.col("in_phrase") & seldom & ~complete & (~F.col("listed") | F.coalesce(stump, F.lit(False))), "copy")
         .when((F.col("open_share") < usual) & ~complete, "prefix")
         .when((F.col("open_share") >= usual) & never, "prefix")
     )

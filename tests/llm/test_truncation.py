@@ -73,3 +73,32 @@ def test_cuts_made_in_the_test_table(spark, data):
 
 def test_collection(spark, data):
     assert texts_of_collection(spark, data).columns == ["field", "row_id", "source", "text"]
+
+
+def test_longer_copies_of_an_unpunctuated_source(spark):
+    """No value is closed, the last words are rare, and some values are stored whole as well as cut."""
+    rng = random.Random(7)
+    rows, cut = [], set()
+    for i in range(210):
+        word = "".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(5))
+        text = f"{'wet ' * rng.randint(0, 30)}{SUBJECTS[i % 3]} carries the {word}"
+        rows.append((i, text))
+        if i % 7 == 0:
+            rows.append((1000 + i, text[:-4]))  # within the word
+            cut.add(1000 + i)
+        if i % 70 == 1:
+            rows.append((1000 + i, text[: -len(word) - 1]))  # after "the"
+            cut.add(1000 + i)
+            rows.append((2000 + i, f"{text}. {text}"))  # goes on with another sentence: whole
+    df = spark.createDataFrame([(i, "manual", t) for i, t in rows], "row_id long, source string, text string")
+    got = {r["row_id"]: r["reason"] for r in truncated_texts(df, "c", "row_id", "text", "source").collect() if r["reason"] != "limit"}
+    assert {i: got.get(i) for i in set(got) ^ cut} == {} and set(got.values()) <= {"copy", "prefix"}
+
+
+def test_copies_across_tasks_and_after_spaces(spark):
+    """A value meets all its continuations, not only the next in order, wherever the tasks' ranges end."""
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    rows = ["seen the trik", "seen the trik at dusk", "seen the trikola"] + [f"seen the trik at dusk {w}" for w in words] + [f"{'so ' * (n % 40)}{w} lies flat" for n, w in enumerate(words)]
+    df = spark.createDataFrame([(i, "manual", t) for i, t in enumerate(rows)], "row_id long, source string, text string")
+    got = {r["row_id"]: r["reason"] for r in truncated_texts(df, "c", "row_id", "text", "source").collect()}
+    assert got.get(0) == "copy"
