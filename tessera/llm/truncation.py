@@ -20,6 +20,7 @@ CLOSED = re.compile(r"(?:[.!?。！？؟।][\"”’»›」』)\]'*_`]*|[)\]
 TOKEN = re.compile(r"[^\W_]+(?:[’'.:/_-][^\W_]+)*|[^\w\s]|_")
 SENTENCE = re.compile(r"(?<=[.!?。！？])[\"”’»」』)]*\s+|(?<=[。！？])|\n+")
 STOP = ".!?。！？"
+COMMAS = frozenset(",;、，")
 GO_ON = re.compile(r"[ \t]*(?:[,;:、，&/+–—-]|[^\W_]|[(\[«“‘\"'「『]\w)")  # more of the same sentence
 GRAMS = 6
 START = "^"  # stands before the first token of a sentence
@@ -108,14 +109,14 @@ def goes_on_with(text: str, end: int) -> str | None:
 
 
 def contexts(bodies: list[str], cut: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the runs of 1 to GRAMS tokens of some texts, and how often each goes on, ends closed, ends open, or is cut short of a longer word.
+    """Keys of the runs of 1 to GRAMS tokens of some texts, and how often each goes on, ends closed, ends open, is cut short of a longer word, or goes on after a comma (which counts as going on, too).
 
     The very end of a text that is certainly ``cut`` counts for nothing.
     """
     number: dict[str, int] = {}
     flat: list[int] = []
     place: list[int] = []  # of a token in its sentence, the mark of its start being 0
-    kind: list[int] = []  # 0 goes on, 1 ends closed, 2 ends open, 3 doesn't count
+    kind: list[int] = []  # 0 goes on, 1 ends closed, 2 ends open, 3 doesn't count, 4 goes on after a comma
     for body, lost in zip(bodies, cut):
         parts = SENTENCE.split(body)
         for k, sentence in enumerate(parts):
@@ -130,14 +131,14 @@ def contexts(bodies: list[str], cut: list[bool]) -> tuple[np.ndarray, np.ndarray
             flat.append(number.setdefault(START, len(number)))
             flat += [number.setdefault(w, len(number)) for w in words]
             place += range(len(words) + 1)
-            kind += [3] + [0] * (len(words) - 1) + [1 if closed else 3 if lost and k == len(parts) - 1 else 2]
+            kind += [3] + [4 if w in COMMAS else 0 for w in words[1:]] + [1 if closed else 3 if lost and k == len(parts) - 1 else 2]
     if not flat:
-        return np.zeros(0, dtype=np.int64), np.zeros((4, 0), dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros((5, 0), dtype=np.int64)
     names = list(number)
     hashes = np.array([token_hash(w) for w in names], dtype=np.uint64)
     ids, place, kind = np.array(flat), np.array(place), np.array(kind)
     each = hashes[ids]
-    counted = kind < 3
+    counted = kind != 3
     keys, kinds = [], []
     with np.errstate(over="ignore"):
         run, power = each.copy(), np.uint64(1)
@@ -148,7 +149,7 @@ def contexts(bodies: list[str], cut: list[bool]) -> tuple[np.ndarray, np.ndarray
             power = np.uint64(int(power) * BASE & WORD)
             run[n:] += each[:-n] * power
     # words that are whole somewhere, alone and after the word before, stand for all their beginnings
-    whole = np.flatnonzero(kind < 2)
+    whole = np.flatnonzero((kind < 2) | (kind == 4))
     pairs, times = np.unique(ids[whole - 1] * len(names) + ids[whole], return_counts=True)
     begun: dict[int, int] = defaultdict(int)
     alone: dict[int, int] = defaultdict(int)
@@ -168,8 +169,9 @@ def contexts(bodies: list[str], cut: list[bool]) -> tuple[np.ndarray, np.ndarray
     weights = np.ones(len(keys))
     weights[len(keys) - len(begun) :] = list(begun.values())
     found, place = np.unique(keys, return_inverse=True)
-    counts = np.bincount(place * 4 + kinds, weights, len(found) * 4).astype(np.int64).reshape(-1, 4)
-    return found, counts.T
+    counts = np.bincount(place * 5 + kinds, weights, len(found) * 5).astype(np.int64).reshape(-1, 5).T
+    counts[0] += counts[4]  # what goes on after a comma goes on
+    return found, counts
 
 
 def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: str, source_col: str, usual: float = 0.3, sample: int = 20_000) -> DataFrame:
@@ -184,7 +186,8 @@ def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: s
       sentence after tokens that seldom end anything; that holds for every source, punctuated or not;
     - ``prefix``: its last tokens are a prefix of what stands elsewhere, where they are followed by more, or by
       the rest of the word, and hardly ever end a sentence. In sources whose values usually are closed (less than
-      ``usual`` are open), that tokens aren't known to end a sentence is enough.
+      ``usual`` are open), that tokens aren't known to end a sentence is enough; in the others, an item of a list (a word that commas or ends follow often, with a comma shortly before)
+      is an end.
 
     A value that stops at the end of a sentence is none, nor one whose last tokens mostly end a sentence or an
     open value. The runs of up to six last tokens are joined by hash with those of all values, counted per
@@ -212,7 +215,7 @@ def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: s
                 mark, open_, body, last = describe(fixed)
                 keys = run_keys(last)
                 wide = not fixed[-12:].isascii()
-                out.append((mark, open_, body, keys, len(fixed), len(fixed.encode("utf-8", "replace")), wide, "," in last[-4:-1], body_key(body)))
+                out.append((mark, open_, body, keys, len(fixed), len(fixed.encode("utf-8", "replace")), wide, not COMMAS.isdisjoint(last[-4:-1]), body_key(body)))
             cols = list(zip(*out)) if out else [[]] * 9
             kinds = [pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
@@ -243,13 +246,13 @@ def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: s
     def count_contexts(batches):
         for b in batches:
             keys, numbers = contexts(b.column("body").to_pylist(), b.column("lost").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, numbers)], names=["key", "on", "closed", "ends", "longer"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, numbers)], names=["key", "on", "closed", "ends", "longer", "items"])
 
     lost = F.col("mark") | F.coalesce("at_limit", F.lit(False))
     bodies = values.join(at_limit, ["field", "row_id"], "left").groupBy("field", "body").agg(F.max(lost).alias("lost"))
-    seen = bodies.select("body", "lost").repartition(tasks).mapInArrow(count_contexts, "key long, on long, closed long, ends long, longer long").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("on", "closed", "ends", "longer")])
+    seen = bodies.select("body", "lost").repartition(tasks).mapInArrow(count_contexts, "key long, on long, closed long, ends long, longer long, items long").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("on", "closed", "ends", "longer", "items")])
     ends = plain.select("field", "row_id", F.posexplode("keys").alias("n", "key"))
-    stats = ends.join(seen, "key").groupBy("field", "row_id").agg(F.array_sort(F.collect_list(F.struct("n", "on", "closed", F.greatest(F.col("ends") - 1, F.lit(0)).alias("ends"), "longer"))).alias("runs"))
+    stats = ends.join(seen, "key").groupBy("field", "row_id").agg(F.array_sort(F.collect_list(F.struct("n", "on", "closed", F.greatest(F.col("ends") - 1, F.lit(0)).alias("ends"), "longer", "items"))).alias("runs"))
 
     # values that go on elsewhere: sorted, a prefix comes before all its continuations
     def follow(batches):
@@ -301,8 +304,10 @@ def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: s
     goes_on = F.exists("runs", lambda r: (total(r) >= 100) & (r["closed"] + r["ends"] <= 0.005 * total(r)) & ((r["n"] >= 2) | ((r["n"] == 0) & (r["longer"] >= 0.9 * total(r)))))
     # with a copy that goes on after the word, some run must seldom end
     seldom = F.coalesce(F.exists("runs", lambda r: most_ends(r) <= F.when(r["n"] >= 2, 0.1).otherwise(0.02)), F.lit(False))
-    # a list may end after any of its items
-    never = F.coalesce(goes_on, F.lit(False)) & ~complete & (~F.col("listed") | F.coalesce(stump, F.lit(False)))
+    # a list may end after any of its items: after words that commas or ends follow often
+    item = F.col("listed") & ~F.coalesce(stump, F.lit(False)) & F.exists("runs", lambda r: (r["n"] == 0) & (r["items"] + r["closed"] + r["ends"] >= 0.1 * total(r)))
+    item = F.coalesce(item, F.lit(False))
+    never = F.coalesce(goes_on, F.lit(False)) & ~complete & ~item
     judged = (
         values.filter("open")
         .join(at_limit, ["field", "row_id"], "left")
@@ -315,7 +320,7 @@ def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: s
         F.when(F.col("mark"), "mark")
         .when(F.col("at_limit"), "limit")
         .when(F.col("in_word") & ~complete, "copy")
-        .when(F.col("in_phrase") & seldom & ~complete & (~F.col("listed") | F.coalesce(stump, F.lit(False))), "copy")
+        .when(F.col("in_phrase") & seldom & ~complete & ~item, "copy")
         .when((F.col("open_share") < usual) & ~complete, "prefix")
         .when((F.col("open_share") >= usual) & never, "prefix")
     )

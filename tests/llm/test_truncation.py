@@ -102,3 +102,23 @@ def test_copies_across_tasks_and_after_spaces(spark):
     df = spark.createDataFrame([(i, "manual", t) for i, t in enumerate(rows)], "row_id long, source string, text string")
     got = {r["row_id"]: r["reason"] for r in truncated_texts(df, "c", "row_id", "text", "source").collect()}
     assert got.get(0) == "copy"
+
+
+def test_lists_of_an_open_source(spark):
+    """A list may end after any item, but not after what leads to the next one."""
+    rng = random.Random(9)
+    rows, cut = [], set()
+    for i in range(1500):
+        text = f"{', '.join(rng.choices(THINGS, k=rng.randint(2, 9)))}, {rng.choice(THINGS)} and {rng.choice(THINGS)} near the {rng.choice(PLACES)}"
+        if i % 3 == 0:
+            text = text.split(" and ")[0]
+        elif i == 1:
+            text = text[: text.index(" and ") + 4]
+            cut.add(i)
+        elif i in (7, 700):
+            text = text[: text.index(" near the ") + 9]
+            cut.add(i)
+        rows.append((i, "bench", text))
+    rows += [(5000 + i, "prose", f"One rider carries the {rng.choice(THINGS)} and the {rng.choice(THINGS)} near the {rng.choice(PLACES)}.") for i in range(3000)]
+    got = {r["row_id"]: r["reason"] for r in truncated_texts(spark.createDataFrame(rows, "row_id long, source string, text string"), "c", "row_id", "text", "source").collect()}
+    assert cut <= set(got) and {i for i, why in got.items() if why != "limit"} <= cut
