@@ -301,7 +301,7 @@ def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: s
     stump = F.exists("runs", lambda r: (r["n"] == 0) & (r["longer"] >= 0.9 * total(r)))
     part = stump & F.exists("runs", lambda r: (r["n"] == 1) & (r["longer"] >= 10 * (r["on"] + r["closed"] + r["ends"]) + 3))
     complete = F.coalesce(((F.col("known.closed") + F.col("known.ends")) >= 0.5 * total(F.col("known"))) & ~part, F.lit(False))
-    goes_on = F.exists("runs", lambda r: (total(r) >= 100) & (r["closed"] + r["ends"] <= 0.005 * total(r)) & ((r["n"] >= 2) | ((r["n"] == 0) & (r["longer"] >= 0.9 * total(r)))))
+    goes_on = F.exists("runs", lambda r: (most_ends(r) <= 0.1) & ((r["n"] >= 2) | ((r["n"] == 0) & (r["longer"] >= 0.9 * total(r)))))
     # with a copy that goes on after the word, some run must seldom end
     seldom = F.coalesce(F.exists("runs", lambda r: most_ends(r) <= F.when(r["n"] >= 2, 0.1).otherwise(0.02)), F.lit(False))
     # a list may end after any of its items: after words that commas or ends follow often

@@ -122,3 +122,15 @@ def test_lists_of_an_open_source(spark):
     rows += [(5000 + i, "prose", f"One rider carries the {rng.choice(THINGS)} and the {rng.choice(THINGS)} near the {rng.choice(PLACES)}.") for i in range(3000)]
     got = {r["row_id"]: r["reason"] for r in truncated_texts(spark.createDataFrame(rows, "row_id long, source string, text string"), "c", "row_id", "text", "source").collect()}
     assert cut <= set(got) and {i for i, why in got.items() if why != "limit"} <= cut
+
+
+def test_ends_on_rare_runs_and_at_any_size(spark):
+    """Runs that go on 40 times, or 400 times and end in 1 % of them, are known to go on."""
+    rng = random.Random(3)
+    rows = [(i, "notes", f"{'wet ' * rng.randint(0, 20)}{rng.choice(THINGS)} by the {rng.choice(PLACES)}") for i in range(600)]
+    rows += [(1000 + i, "prose", f"{'wet ' * rng.randint(0, 20)}the zebrafish swims near the {rng.choice(PLACES)}.") for i in range(40)]
+    rows += [(2000 + i, "prose", f"{'wet ' * rng.randint(0, 20)}{rng.choice(THINGS)} stands upright against the {rng.choice(PLACES)}.") for i in range(400)]
+    cut = {9000: "wet lantern by the zebraf", 9001: "the zebrafish swims near the"} | {9010 + i: f"{'so ' * i}stands upright against the" for i in range(4)}
+    df = spark.createDataFrame(rows + [(i, "notes", t) for i, t in cut.items()], "row_id long, source string, text string")
+    got = {r["row_id"]: r["reason"] for r in truncated_texts(df, "c", "row_id", "text", "source").collect() if r["reason"] != "limit"}
+    assert {i: got.get(i) for i in set(got) ^ set(cut)} == {}
