@@ -7,12 +7,14 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import read_table, task_count
+from tessera.session import cut_lineage, read_table, task_count
 
 # Encodings that bytes are wrongly read in, and what those bytes were. Fixed values.
 WRONG = ("cp1252", "latin-1", "cp1251", "mac_roman", "cp437", "cp850", "cp866", "koi8-r", "cp1250", "cp1254", "iso8859-15", "cp949", "cp932", "gbk", "big5")
@@ -73,10 +75,29 @@ def _plain(token: str) -> str:
     return DIGITS.sub("0", token.strip(PUNCTUATION))
 
 
+class Counts:
+    """How many texts have each token, by sorted hashes of the tokens (16 bytes a token)."""
+
+    def __init__(self, keys: np.ndarray, numbers: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.numbers = keys[order], numbers[order]
+
+    def get(self, token: str, default: int = 0) -> int:
+        key = token_key(token)
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.numbers[at]) if at < len(self.keys) and self.keys[at] == key else default
+
+
+def token_key(token: str) -> int:
+    """What xxhash64 makes of a string column."""
+    key = xxhash.xxh64_intdigest(token.encode("utf-8", "replace"), seed=42)
+    return key - (1 << 64) if key >> 63 else key
+
+
 class Lengths:
     """Description lengths of texts: the least number of bytes that a language's dictionary compresses them to."""
 
-    def __init__(self, dictionaries: dict[str, bytes], counts: dict[str, int] | None = None):
+    def __init__(self, dictionaries: dict[str, bytes], counts: dict[str, int] | Counts | None = None):
         self.counts = counts or {}
         self._known: dict[tuple[str, str], float] = {}
         self.coders = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False) for d in dictionaries.values()]
@@ -88,7 +109,7 @@ class Lengths:
 
 
     def attested(self, raw: str, decoded: str) -> float:
-        """How many times (as a power of two) more often the sample has the one token than the other.
+        """How many times (as a power of two) more often the texts have the one token than the other.
 
         Where words aren't set apart by spaces few tokens recur: a whole phrase of one script that replaces a
         much longer mixture counts as eight times as often.
@@ -101,11 +122,16 @@ class Lengths:
 
     def _compare(self, raw: str, decoded: str) -> float:
         a, b = self.counts.get(_plain(decoded), 0), self.counts.get(_plain(raw), 0)
-        if not b and a < 7 and len(decoded) >= 4 and len(decoded) <= 0.75 * len(raw) and SCRIPT.search(decoded) and PROPER.fullmatch(decoded) and not PROPER.fullmatch(raw):
+        b = b if b > 1 else 0  # the text itself
+        if not b and a < 7 and _phrase_of_script(raw, decoded):
             return 3.0
         return math.log2((1 + a) / (1 + b))
 
 
+def _phrase_of_script(raw: str, decoded: str) -> bool:
+    return bool(4 <= len(decoded) <= 0.75 * len(raw) and SCRIPT.search(decoded) and PROPER.fullmatch(decoded) and not PROPER.fullmatch(raw))
+
+
 def _suspects(pieces: list[str]) -> dict[int, tuple[tuple[str, str, str], ...]]:
     return {k: found for k in range(0, len(pieces), 2) if pieces[k] and not pieces[k].isascii() and (found := decodings(pieces[k]))}
 
@@ -116,7 +142,7 @@ def repair(text: str, length: Lengths, step_cost: float = 1.0, rounds: int = 3,
     Stretches of tokens that some pair of encodings can explain are tried with each pair, with two tokens on
     either side; the pair with the least description length, each step costing ``step_cost`` bytes, replaces the
     stretch if it beats the text as it is. That is repeated, since texts are misread more than once. Bytes that
-    happen to be valid UTF-8 are evidence enough; for other pairs the sample must have the tokens that come out
+    happen to be valid UTF-8 are evidence enough; for other pairs the texts must have the tokens that come out
     2**``least_known`` times as often, in all, as those that go in.
     """
     steps: list[str] = []
@@ -205,11 +231,58 @@ def train_dictionaries(texts: list[str], counts: dict[str, int], size: int = 65_
     return out
 
 
-def fitted(df: DataFrame, text_col: str, sample: int = 20_000, size: int = 65_536) -> tuple[dict[str, bytes], dict[str, int]]:
-    """Dictionaries and token counts from the ``sample`` texts of the lowest hash, at most 2,000 characters of each."""
+def token_counts(df: DataFrame, text_col: str, rounds: int = 3) -> Counts:
+    """How many texts, of all and whole, have the suspect tokens and what these decode to.
+
+    Tokens are counted where they are; of these counts only those leave the tasks that a comparison of a token with
+    one of its decodings can need, so tokens none of whose decodings occurs anywhere are left out.
+    """
+    tasks = task_count(df.sparkSession)
+    texts = df.select(F.col(text_col).alias("t")).filter(F.col("t").rlike("[^\\x00-\\x7f]")).dropDuplicates().repartition(tasks)
+
+    def count(batches):
+        for b in batches:
+            pieces = Counter()
+            for text in b.column("t").to_pylist():
+                own = {x for x in SPACES.split(text)[::2] if not x.isascii()}
+                pieces.update((x, False) for x in own)
+                pieces.update((x, True) for x in {_plain(x) for x in own})
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pieces], pa.string()), pa.array([p for _, p in pieces], pa.bool_()), pa.array(list(pieces.values()), pa.int64())], names=["token", "plain", "n"])
+
+    def pairs(batches):
+        for b in batches:
+            out = set()
+            for piece in b.column("token").to_pylist():
+                seen, todo = {piece}, [piece]
+                for _ in range(rounds):
+                    more = []
+                    for raw in todo:
+                        for wrong, right, text in decodings(raw):
+                            out.add((_plain(raw), _plain(text)))
+                            phrase = _phrase_of_script(raw, text)
+                            if phrase:  # goes by the count of what it replaces
+                                out.add((_plain(raw), _plain(raw)))
+                            # what other tokens decode to is read again only where it occurs, and then is a token itself
+                            if text not in seen and not text.isascii() and (phrase or (right == "utf-8" and wrong in SINGLE)):
+                                seen.add(text)
+                                more.append(text)
+                    todo = more
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()).cast(pa.string()) for k in range(2)], names=["raw", "decoded"])
+
+    counted = cut_lineage(texts.mapInArrow(count, "token string, plain boolean, n long").groupBy("token", "plain").agg(F.sum("n").alias("n")))
+    known = counted.filter("plain").select(F.xxhash64("token").alias("key"), "n")
+    compared = counted.filter("not plain").select("token").repartition(tasks).mapInArrow(pairs, "raw string, decoded string").select(F.xxhash64("raw").alias("raw"), F.xxhash64("decoded").alias("decoded")).distinct()
+    met = compared.join(known.select(F.col("key").alias("decoded")), "decoded", "left_semi")
+    wanted = met.select(F.explode(F.array("raw", "decoded")).alias("key")).distinct()
+    table = wanted.join(known, "key").select("key", "n").toArrow()
+    return Counts(table.column("key").to_numpy(), table.column("n").to_numpy())
+
+
+def fitted(df: DataFrame, text_col: str, sample: int = 20_000, size: int = 65_536) -> tuple[dict[str, bytes], Counts]:
+    """Dictionaries from the ``sample`` texts of the lowest hash, at most 2,000 characters of each, and the token counts of all whole texts."""
     texts = df.select(F.left(F.col(text_col), F.lit(2000)).alias("t")).filter("t <> ''").dropDuplicates().orderBy(F.xxhash64("t"), "t").limit(sample)
     rows = [r["t"] for r in texts.collect()]
-    counts = count_tokens(rows)
+    counts = token_counts(df, text_col)
     return train_dictionaries(rows, counts, size), counts
 
 
@@ -222,7 +295,8 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, sample: int = 20_00
     could be restored of the rest. Texts that no chain makes shorter stay as they are and have no row.
 
     Description lengths come from zstandard with a dictionary for each language, made of a bounded sample of
-    the column (``sample`` texts, ``size`` bytes a language); these and the sample's token counts are all that the tasks are sent.
+    the column (``sample`` texts, ``size`` bytes a language). Tokens are counted over all whole texts; the tasks are
+    sent the dictionaries and the counts of suspect tokens that decode to tokens of the collection.
 
     Null ids, null and empty texts have no rows. Repeated rows give one row each time they differ. An empty
     table gives no rows. Other columns are ignored, whatever their names.

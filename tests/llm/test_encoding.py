@@ -79,3 +79,14 @@ def test_accuracy_on_garbled_rows_of_the_test_table(spark, data):
         total += 1
         right += repair(bad, fit)[0] == t
     assert total > 200 and right >= 0.95 * total
+
+
+def test_words_outside_the_sample_count(spark):
+    """What the sample of the dictionaries leaves out, or cuts off, is known all the same."""
+    words = "мельница пристань лестница фонарь сторож".split()
+    clean = [" ".join(["мельницы пристани лестницы фонари сторожа", *["pier"] * 600, *words]) + f" {i}" for i in range(30)]
+    bad = "The note reads " + " ".join(words).encode("cp1251").decode("cp1252")
+    df = spark.createDataFrame(list(enumerate([bad, *clean])), "id long, text string")
+    for sample in (5, 20_000):
+        got = {r["id"]: r["original"] for r in garbled_texts(df, "id", "text", sample=sample).collect()}
+        assert got == {0: "The note reads " + " ".join(words)}
