@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 import re
+from re import _constants as sre
+from re import _parser as parser
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,13 +59,22 @@ FILLER = re.compile(
     | \b(?:description|content|text|caption|title|more\ information)\s+(?:is\s+)?coming\s+soon\b | ^\W*coming\s+soon\W*$
     | ^\W*(?:replace|enter|insert|add|type)\s+(?:this|your|the|a|some|note|caption|title)?\s*(?:text|caption|title|note|description|content)\b
     | ^\W*untitled(?:\s+\w+)?\W*$ | (?:^|\W)(?:TODO|FIXME)\s*:\s*\w+ | ^\W*(?:TBD|TBA|TODO|FIXME|N/A)(?:\W+(?:TBD|TBA|TODO|FIXME|N/A))*\W*$ | \bTBD\.\s*TBD\b
-    | ^\W*(?:(\w{2,5})\W+)(?:(?:\1|\d+|qwer|asdf|zxcv|qwerty|jkl)\W*){2,}$ | ^\W*(?:asdf|qwer|zxcv)\w*(?:\W+(?:asdf|qwer|zxcv)\w*)*\W*$ | ^\W*([a-z])\2{2,}\W+([a-z])\3{2,}(?:\W+([a-z])\4{2,})*\W*$
+    | ^\W*(?:asdf|qwer|zxcv)\w*(?:\W+(?:asdf|qwer|zxcv)\w*)*\W*$
     | ^\W*test\s+test\b
     | 임시\s*(?:문구|텍스트|내용) | (?:내용|설명|본문|페이지)\s*(?:이|은|을)?\s*준비\s*중 | (?:설명|제목|내용|문구|텍스트)[을를]?\s*(?:여기에\s*)?(?:입력|작성)하세요 | 여기에\s*\S+\s*(?:입력|작성) | 더미\s*텍스트
     """,
     re.X | re.I,
 )
 
+# The same word, or the same letter, over and over.
+REPEATED = re.compile(
+    r"""
+      ^\W*([^\W\d_]\w{1,4})\W+(?=(?:(?:\1|\d+|qwer|asdf|zxcv|qwerty|jkl)\b\W*){2,}$)(?:\d+\W+)*(?:\1|qwer|asdf|zxcv|qwerty|jkl)\b
+    | ^\W*([a-z])\2{2,}\W+([a-z])\3{2,}(?:\W+([a-z])\4{2,})*\W*$
+    """,
+    re.X | re.I,
+)
+
 _SCRIPT = r"(?:java\s?script|scripts?|scripting|guión|자바스크립트|스크립트)"
 # Notices that scripts, cookies or another browser are needed.
 SCRIPT = re.compile(
@@ -112,43 +123,95 @@ EXPLAINS = re.compile(
     """,
     re.X | re.I,
 )
-# Of each kind, strings of which its patterns need one, in lower case. Fixed values.
-LITERALS = {
-    "placeholder": "{ $ % @@ __ [[ « [insert [enter [add [your [replace [type [fill [put <insert <enter <add <your xxx",
-    "unset": "undefined nan null none nil unknown n/a [object",
-    "filler": "lorem placeholder dummy sample filler platzhalter remplissage factice provisoire relleno provisional untitled todo fixme tbd tba n/a asdf qwer zxcv aaa 임시 준비 입력 작성 더미",
-    "script": "script guión 스크립트",
-    "error": "404 500 403 503 error gateway unavailable exist unable forbidden oops maintenance traceback exception code= msg= \"error \"code \"status {error {code {status página introuvable erreur accès dienst fehler zugriff acesso acceso cannot can't can’t couldn 찾을 없 존재하지 삭제 서버 권한 잠시 관리자 로그인 주소를 점검 초과 timeout unexpected .java:",
-}
-PHRASES = {
-    "placeholder": (" to be ", "goes here", " here>", "here >"),
-    "filler": ("dolor sit", "here", "coming soon", "replace ", "enter ", "insert ", "add ", "type ", "test test"),
-    "script": ("checking your browser",),
-    "error": (
-        "internal server", "service temp", "time-out", "timed out", "not found", "not be found", "not available", "no longer", "could not", "link you followed", "may have been", "moved or deleted", "removed or deleted",
-        "access denied", "access is", "access was", "need permission", "need the permission", "have permission", "have the permission", "permission denied", "permission required", "permission is", "role required", "authori", "login required",
-        "log in ", "sign in", "enter your account", "session ", "went wrong", "too many", "retry ", "try again", "blocked in", "in time", "connection ", "file \"", "no se ", "nicht gefunden",
-    ),
-}
+# Letters that patterns without regard to case take for others, beyond what lower() makes of them.
+CASES = str.maketrans({"İ": "i", "ı": "i", "ſ": "s"})
+
+
+def _folded(text: str) -> str:
+    return text.translate(CASES).lower() if not text.isascii() else text.lower()
+
+
+def _spelled(item, most: int = 48) -> set[str] | None:
+    """All that a part of a parsed pattern can match, if that is little and has no spaces."""
+    op, av = item
+    if op is sre.LITERAL:
+        return None if chr(av).isspace() else {_folded(chr(av))}
+    if op is sre.IN:
+        return {_folded(chr(x)) for _, x in av} if len(av) <= 4 and all(o is sre.LITERAL and not chr(x).isspace() for o, x in av) else None
+    if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+        return {""}
+    if op is sre.SUBPATTERN:
+        return _spelled_all(av[-1], most)
+    if op is sre.BRANCH:
+        each = [_spelled_all(x, most) for x in av[1]]
+        return None if any(x is None for x in each) or len(found := set().union(*each)) > most else found
+    if op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and av[:2] == (0, 1):
+        inner = _spelled_all(av[2], most)
+        return None if inner is None else inner | {""}
+    return None
+
+
+def _spelled_all(items, most: int = 48) -> set[str] | None:
+    out = {""}
+    for item in items:
+        if (more := _spelled(item, most)) is None or len(out) * len(more) > most:
+            return None
+        out = {a + b for a in out for b in more}
+    return out
+
+
+def needed(items) -> set[str] | None:
+    """Strings without spaces of which all that a parsed pattern matches has one, lower-cased; the rarest such set, None if there is none."""
+    sets, now = [], {""}
+    for item in items:
+        more = _spelled(item)
+        if more is not None and len(now) * len(more) <= 48:
+            now = {a + b for a in now for b in more}
+            continue
+        sets.append(now)
+        now = more or {""}
+        if more is None:
+            op, av = item
+            if op is sre.SUBPATTERN:
+                sets.append(needed(av[-1]) or set())
+            elif op is sre.BRANCH:
+                each = [needed(x) for x in av[1]]
+                sets.append(set().union(*each) if all(each) else set())
+            elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and av[0]:
+                sets.append(needed(av[2]) or set())
+    sets = [x for x in (*sets, now) if x and "" not in x]
+    return max(sets, key=lambda x: min(sum(1 if c.isalnum() and c.isascii() else 3 for c in w) for w in x)) if sets else None
+
+
+def literals(pattern: re.Pattern) -> set[str] | None:
+    """Strings of which every match of a pattern has one; None if one of its alternatives needs none."""
+    parsed = parser.parse(pattern.pattern, pattern.flags)
+    alternatives = parsed[0][1][1] if len(parsed) == 1 and parsed[0][0] is sre.BRANCH else [parsed]
+    each = [needed(x) for x in alternatives]
+    return set().union(*each) if all(each) else None
 
 
 @functools.cache
 def _automaton():
+    """A function that tells the kinds (as bits) that a folded text may have: those with a needed string in it and those without such strings."""
     found: dict[str, int] = {}
-    for bit, (kind, _) in enumerate(KINDS):
-        for x in (*LITERALS[kind].split(), *PHRASES.get(kind, ())):
+    always = 0
+    for bit, (_, pattern) in enumerate(KINDS):
+        if (words := literals(pattern)) is None:
+            always |= 1 << bit
+        for x in words or ():
             found[x] = found.get(x, 0) | 1 << bit
     try:
         import ahocorasick
     except ImportError:
-        return lambda text: _any_of(text, found)
+        return lambda text: always | _any_of(text, found)
     machine = ahocorasick.Automaton()
     for x, bits in found.items():
         machine.add_word(x, bits)
     machine.make_automaton()
 
     def kinds(text: str) -> int:
-        bits = 0
+        bits = always
         for _, more in machine.iter(text):
             bits |= more
         return bits
@@ -169,18 +232,16 @@ MARKUP = re.compile(r"</?(?:p|b|i|em|strong|span|div|h\d|br|html|head|body|title
 INLINE = re.compile(r"</?(?:b|i|em|strong|span)\b|\*\*|&nbsp;", re.I)
 DIGITS = re.compile(r"\d+")
 TERM = re.compile(r"[^\W\d_]{3,}")
-KINDS = (("placeholder", PLACEHOLDER), ("unset", UNSET), ("filler", FILLER), ("script", SCRIPT), ("error", ERROR))
+KINDS = (("placeholder", PLACEHOLDER), ("unset", UNSET), ("filler", FILLER), ("filler", REPEATED), ("script", SCRIPT), ("error", ERROR))
 
 
 def residue_segments(text: str):
     """(kind, weak, segment) for each sentence or line of a text that holds residue and doesn't explain or quote it."""
     kinds_in = _automaton()
-    if not kinds_in(text.lower()):
-        return
     if "<" in text or "*" in text or "&" in text:
         text = MARKUP.sub(lambda m: " " if INLINE.match(m[0]) else "\n", text)
     for segment in SEGMENT.split(text):
-        bits = kinds_in(segment.lower()) if segment else 0
+        bits = kinds_in(_folded(segment)) if segment else 0
         if not bits:
             continue
         bare = QUOTED.sub(" ", segment)

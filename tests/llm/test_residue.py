@@ -1,6 +1,6 @@
 import pytest
 
-from tessera.llm.residue import residue, residue_segments, without_residue
+from tessera.llm.residue import KINDS, literals, residue, residue_segments, without_residue
 
 HELD = [
     "Dear {{ first_name }}, the folder {0} is ready.", "Scene: ${site}, recorded at the mill.", "Contact %FIRST_NAME% about the van.", "폴더 #{촬영일}의 설명", "담당자는 $PROJECT$입니다.", "Photo by <your name here>.", "Caption ([INSERT LABEL]): van",
@@ -39,3 +39,28 @@ def test_table(spark):
     assert {r["doc_id"] for r in without_residue(df).collect()} == {1, 3, 4, 7, None}
     assert residue(df.limit(0)).count() == 0
     assert residue(df, host_col=None).filter("doc_id = 2").count() == 1
+
+
+WITHOUT_A_LISTED_WORD = [
+    "400 Bad Request", "504 Server response", "time out while fetching the tile", "at app.render(app.js:12)", "cant open this page", "blah blah blah", "bbbb cccc", "[ insert name ]",
+    "Page <b>not</b> found", "Page not&nbsp;found", "Page  not \u00a0found", "SERVİCE UNAVAİLABLE",
+]
+
+
+@pytest.mark.parametrize("text", WITHOUT_A_LISTED_WORD)
+def test_no_word_is_needed_beyond_the_patterns(text):
+    assert list(residue_segments("A real sentence stands before.\n" + text + "\nAnd one after."))
+
+
+@pytest.mark.parametrize("text", ["Crop 12 45.", "Row 3, 4, 5", "10 20 30", "12 12 12"])
+def test_numbers_repeat_without_being_filler(text):
+    assert not list(residue_segments(text))
+
+
+def test_literals_are_implied():
+    """Whatever a pattern matches in the texts above has one of its needed strings."""
+    for _, pattern in KINDS:
+        words = literals(pattern)
+        for text in HELD + CLEAN + WITHOUT_A_LISTED_WORD:
+            if words and (m := pattern.search(text)):
+                assert any(w in m[0].lower().replace("i\u0307", "i") for w in words), (text, m[0])
