@@ -118,7 +118,7 @@ EXPLAINS = re.compile(
     r"""
       \b(?:token|placeholder|variable|tag|mark(?:er)?|template|field|string|code|status|message|word|words)s?\b[^.!?]{0,80}\b(?:stands?\s+for|means?|is\s+(?:replaced|filled|substituted|shown|written)|are\s+(?:replaced|filled)|gets?\s+(?:replaced|filled)|where\s+the|writes?|reads?|says?)\b
     | \b(?:stands?\s+for|is\s+replaced\s+(?:on|by|with)|replaced\s+on\s+save|explains?\s+that|explained\s+that|describes?\s+how|as\s+an\s+example|for\s+example|painted\s+as|readable\s+in|in\s+chalk)\b
-    | \buses?\b[^.!?]{0,80}\bwhen\b | \btemplate\s+writes\b | \btagged\b
+    | \buses?\b[^.!?]{0,80}\bwhen\b | \btemplate\s+writes\b
     | 자리에\s*\S+\s*\S+이?\s*(?:들어|바뀌|표시)|라고\s*(?:설명|적혀|쓰여|적어|표시)|라는\s*(?:농담|문구|글|말|표시)[이가을를]?|뜻(?:한다|이다|으로)|설명한다|설명했다|의미한다
     """,
     re.X | re.I,

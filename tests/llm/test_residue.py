@@ -64,3 +64,7 @@ def test_literals_are_implied():
         for text in HELD + CLEAN + WITHOUT_A_LISTED_WORD:
             if words and (m := pattern.search(text)):
                 assert any(w in m[0].lower().replace("i\u0307", "i") for w in words), (text, m[0])
+
+
+def test_tagged_is_no_explanation():
+    assert list(residue_segments("Photo tagged {{tag}} by {{user}}"))
