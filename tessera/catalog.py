@@ -576,9 +576,11 @@ def concept_counts(spark, d):
 
 @query("SELECT DISTINCT hit_id, query_id, CASE WHEN score::VARCHAR = 'nan' THEN 'NaN' ELSE printf('%.4f', score) END AS score, caption, image_path, folder, member_count FROM folder_hits WHERE score::VARCHAR = 'nan' OR abs(score * 10000 - floor(score * 10000) - 0.5) > 1e-6")
 def result_export(spark, d):
-    """Rows of a result export; scores amid two texts of four decimals are left out, as engines differ on them."""
-    rows = table(spark, d, "folder_hits").filter(F.isnan("score") | (F.abs(F.col("score") * 10000 - F.floor(F.col("score") * 10000) - 0.5) > 1e-6)).distinct()
-    shown = F.when(F.isnan("score"), F.lit("NaN")).otherwise(F.format_string("%.4f", "score"))
+    """All rows of a result export; scores are rounded by their exact binary value, exact halves to even, and null scores stay null."""
+    rows = table(spark, d, "folder_hits").distinct()
+    # Java's formats don't go by the exact binary value: DecimalFormat makes 0.0000 of 0.00005, which is above the half
+    text = F.udf(lambda score: None if score is None else f"{score:.4f}", "string")
+    shown = F.when(F.isnan("score"), F.lit("NaN")).otherwise(text("score"))
     return rows.select("hit_id", "query_id", shown.alias("score"), "caption", "image_path", "folder", "member_count").distinct()
 
 

@@ -18,3 +18,12 @@ def test_query_equals_sql(spark, data, con, name):
 def test_entry(spark):
     assert entry.entry(spark).columns == ["query_id", "id", "rank", "fused", "match", "score"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_result_export_has_every_score(spark, tmp_path):
+    """Scores amid two texts of four decimals, and null ones, are rows too; rounding goes by the exact binary value."""
+    scores = [0.03125, 0.09375, 0.12345, 0.00005, 0.99995, 0.5, -0.03125, 1.00015, 0.20005, 2.675]
+    rows = [(i, 1, "a", "p", "c", s, 1) for i, s in enumerate([*scores, None, float("nan")])]
+    spark.createDataFrame(rows, "hit_id long, query_id long, folder string, image_path string, caption string, score double, member_count int").write.parquet(str(tmp_path / "folder_hits.parquet"))
+    got = {r["hit_id"]: r["score"] for r in catalog.QUERIES["result_export"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate([*(f"{s:.4f}" for s in scores), None, "NaN"]))
