@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import functools
+import math
 import re
+from collections import Counter
 from re import _constants as sre
 from re import _parser as parser
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage, read_table, spread
 
-_NAME = r"[^\W\d][\w .-]{0,40}?"
+_NAME = r"[^\W\d][\w .-]*?"
 _UNSET = r"(?:undefined|NaN|null|None|nil|none|unknown|N/A|\[object Object\])"
 
 # Unfilled placeholders, by the marks of common template languages.
@@ -24,21 +26,20 @@ PLACEHOLDER = re.compile(
     | (?<![\w"'$#{{])\{{\s*(?:{_NAME}|\d{{1,2}})\s*\}}(?!["'}}])                   # {{name}} {{0}}
     | <%[=-]?\s*{_NAME}\s*[-=]?%> | \{{%-?\s*{_NAME}\s*-?%\}}                     # <%= name %> {{% name %}}
     | %\(\s*{_NAME}\s*\)[sdf]                                                     # %(name)s
-    | (?<![\w%])%[^\W\d](?:\w|[ ](?=\w)){{1,40}}%(?![A-Za-z0-9_%])                        # %NAME%
-    | (?<![\w$])\$[^\W\d]\w{{1,40}}\$(?![A-Za-z0-9_$])                                    # $NAME$
+    | (?<![\w%])%[^\W\d](?:\w|[ ](?=\w))+%(?![A-Za-z0-9_%])                        # %NAME%
+    | (?<![\w$])\$[^\W\d]\w+\$(?![A-Za-z0-9_$])                                    # $NAME$
     | @@\s*{_NAME}\s*@@                                                           # @@name@@
     | (?<!\w)__[^\W\d_](?:\w|[ ])*?__(?![A-Za-z0-9_])                                       # __NAME__
     | \[\[\s*{_NAME}\s*\]\]                                                       # [[name]]
     | «\s*{_NAME}\s*»님? (?=[,.의에님 ]|$)                                          # «name»
-    | \[\s*(?:insert|enter|add|your|replace|type|fill\ in|put)\b[^\[\]]{{0,60}}\]  # [INSERT NAME]
-    | <\s*(?:insert|enter|add|your)\s[^<>]{{1,60}}>                               # <your name>
+    | \[\s*(?:insert|enter|add|your|replace|type|fill\ in|put)\b[^\[\]]*\]       # [INSERT NAME]
+    | <\s*(?:insert|enter|add|your)\s[^<>]+>                                   # <your name>
     | <\s*{_NAME}\s+(?:here|goes\ here)\s*>                                       # <name here>
-    | \(\s*[^()]{{1,60}}\s(?:to\ be\ (?:added|filled\ in|provided|confirmed|announced)|goes\ here)\s*\)
+    | \(\s*[^()]+\s(?:to\ be\ (?:added|filled\ in|provided|confirmed|announced)|goes\ here)\s*\)
     | (?<!\w)X{{3,}}(?![A-Za-z0-9_])                                       # XXXX
     """,
     re.X | re.I,
 )
-_NESTED = re.compile(r"«[^«»]{1,40}»")
 
 # Values that weren't set and were printed as text.
 UNSET = re.compile(
@@ -71,6 +72,8 @@ REPEATED = re.compile(
     r"""
       ^\W*([^\W\d_]\w{1,4})\W+(?=(?:(?:\1|\d+|qwer|asdf|zxcv|qwerty|jkl)\b\W*){2,}$)(?:\d+\W+)*(?:\1|qwer|asdf|zxcv|qwerty|jkl)\b
     | ^\W*([a-z])\2{2,}\W+([a-z])\3{2,}(?:\W+([a-z])\4{2,})*\W*$
+    | (?<!\w)([a-z])\5{2,}\W+([a-z])\6{2,}\W+([a-z])\7{2,}(?!\w)
+    | (?<!\w)(?:asdf|qwer|zxcv)\w*(?:\W+(?:asdf|qwer|zxcv)\w*){2,}
     """,
     re.X | re.I,
 )
@@ -113,7 +116,7 @@ ERROR = re.compile(
 WEAK = re.compile(r"\bsomething\s+went\s+wrong\b|\btry\s+again\s+later\b|\bretry\s+(?:after|in)\b|^\W*oops\b|\b(?:sign|log)\s*in\b|\bcoming\s+soon\b|\bmay\s+have\s+been\b|관리자에게\s*문의|주소를\s*다시\s*확인|로그인|점검\s*중", re.I)
 
 # Whoever explains, quotes or depicts such text.
-QUOTED = re.compile(r"“[^”]{0,200}”|‘[^’]{0,200}’|„[^“”]{0,200}[“”]|「[^」]{0,200}」|『[^』]{0,200}』|`[^`]{1,200}`|(?<![\w{:,\[=] )(?<![\w{:,\[=(])\"[^\"{}]{1,200}\"(?=[\s,.;:!?)])")
+QUOTED = re.compile(r"“[^”]*”|‘[^’]*’|„[^“”]*[“”]|「[^」]*」|『[^』]*』|`[^`]+`|(?<![\w{:,\[=] )(?<![\w{:,\[=(])\"[^\"{}]+\"(?=[\s,.;:!?)])")
 EXPLAINS = re.compile(
     r"""
       \b(?:token|placeholder|variable|tag|mark(?:er)?|template|field|string|code|status|message|word|words)s?\b[^.!?]{0,80}\b(?:stands?\s+for|means?|is\s+(?:replaced|filled|substituted|shown|written)|are\s+(?:replaced|filled)|gets?\s+(?:replaced|filled)|where\s+the|writes?|reads?|says?)\b
@@ -232,30 +235,86 @@ MARKUP = re.compile(r"</?(?:p|b|i|em|strong|span|div|h\d|br|html|head|body|title
 INLINE = re.compile(r"</?(?:b|i|em|strong|span)\b|\*\*|&nbsp;", re.I)
 DIGITS = re.compile(r"\d+")
 TERM = re.compile(r"[^\W\d_]{3,}")
+WORDS = re.compile(r"[^\W\d_]{2,}")
+PLAIN = re.compile(r"(?<![^\W\d_])[a-z]{2,}(?![^\W\d_])")  # words in plain letters
 KINDS = (("placeholder", PLACEHOLDER), ("unset", UNSET), ("filler", FILLER), ("filler", REPEATED), ("script", SCRIPT), ("error", ERROR))
 
 
-def residue_segments(text: str):
-    """(kind, weak, segment) for each sentence or line of a text that holds residue and doesn't explain or quote it."""
+def segments_of(text: str):
+    """(kind, weak, segment) for each sentence or line of a text; the kind is None without residue, or where residue is explained or quoted."""
     kinds_in = _automaton()
     if "<" in text or "*" in text or "&" in text:
         text = MARKUP.sub(lambda m: " " if INLINE.match(m[0]) else "\n", text)
     for segment in SEGMENT.split(text):
-        bits = kinds_in(_folded(segment)) if segment else 0
-        if not bits:
+        if not segment:
             continue
-        bare = QUOTED.sub(" ", segment)
-        for bit, (kind, pattern) in enumerate(KINDS):
-            if bits >> bit & 1 and pattern.search(bare) and not EXPLAINS.search(segment):
-                yield kind, bool(kind in ("error", "filler") and WEAK.search(bare) and not pattern.search(WEAK.sub(" ", bare))), segment.strip()
-                break
+        if bits := kinds_in(_folded(segment)):
+            bare = QUOTED.sub(" ", segment)
+            for bit, (kind, pattern) in enumerate(KINDS):
+                if bits >> bit & 1 and pattern.search(bare) and not EXPLAINS.search(segment):
+                    yield kind, bool(kind in ("error", "filler") and WEAK.search(bare) and not pattern.search(WEAK.sub(" ", bare))), segment.strip()
+                    break
+            else:
+                yield None, False, segment.strip()
+        else:
+            yield None, False, segment.strip()
+
+
+def residue_segments(text: str):
+    """(kind, weak, segment) for each sentence or line of a text that holds residue and doesn't explain or quote it."""
+    return (x for x in segments_of(text) if x[0])
+
+
+def trigrams(word: str) -> list[str]:
+    """Three letters in a row of a word, its ends being letters of their own."""
+    word = f"^{word}$"
+    return [word[k : k + 3] for k in range(len(word) - 2)]
+
+
+class Likeness:
+    """How much more likely words are as filler than as content, in nats, from the letter trigrams of either.
+
+    ``counts`` has (filler, content) by trigram: at most 28**3 entries, whatever the collection. Filler counts as
+    ``prior`` trigrams of the whole collection more than were seen, so that without known filler nothing is like it.
+    """
+
+    def __init__(self, counts: dict[str, tuple[int, int]], prior: float = 100.0):
+        filler = sum(f for f, _ in counts.values())
+        both = sum(f + c for f, c in counts.values()) + 0.5 * (len(counts) + 1)
+        self._of = {g: math.log((f + prior * (share := (f + c + 0.5) / both)) / (filler + prior) / share) for g, (f, c) in counts.items()}
+        self._unseen = math.log(prior / (filler + prior))
+        self._words: dict[str, float] = {}
+
+    def word(self, word: str) -> float:
+        if (known := self._words.get(word)) is None:
+            if len(self._words) > 500_000:  # a memo, no limit on what is compared
+                self._words.clear()
+            known = self._words[word] = sum(self._of.get(g, self._unseen) for g in trigrams(word))
+        return known
+
+    def __call__(self, segment: str, least_words: int = 5) -> float:
+        """The sum over the words of a segment; minus infinity if they are fewer, or a fifth of them or more aren't in plain letters."""
+        plain = PLAIN.findall(low := segment.lower())
+        if len(plain) < least_words or len(plain) <= 0.8 * len(WORDS.findall(low)):
+            return -math.inf
+        return sum(map(self.word, plain))
+
+
+def _subject(text: str, host: str | None) -> tuple[str, set[str]]:
+    """The title of a document, its first line, and the terms of its address and title."""
+    first = text.lstrip().split("\n", 1)[0]
+    return first, set(TERM.findall((host or "").lower().replace("_", " "))) | set(TERM.findall(first.lower()))
 
 
-def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", least_hosts: int = 2) -> DataFrame:
-    """Documents with residue where content should be: (doc_id, kinds, segments, share).
+_FOUND = (("doc_id", None), ("kind", pa.string()), ("weak", pa.bool_()), ("mask", pa.string()), ("apart", pa.bool_()), ("share", pa.float64()), ("host", pa.string()), ("filler", pa.int64()), ("content", pa.int64()))
+
+
+def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | None = "source", least_hosts: int = 2, least_likeness: float = 3.0) -> DataFrame:
+    """Documents with residue where content should be: (doc_id, kinds, segments, share, evidence).
 
     ``kinds`` are the kinds found (error, filler, placeholder, script, unset), sorted; ``segments`` how many
-    sentences or lines hold residue; ``share`` the part of the text's characters that they make up.
+    sentences or lines hold residue; ``share`` the part of the text's characters that they make up; ``evidence``
+    what decided, sorted: 'detector', 'hosts' or 'terms'.
 
     Each sentence or line goes through detectors for unfilled placeholders, unset values, filler, script
     notices and error messages, after quoted and code-like stretches are taken out; sentences that explain or
@@ -264,6 +323,12 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     first line, and it is all there is, or comes with certain residue, or recurs, numbers aside, in documents of
     ``least_hosts`` hosts or more. Sentences are counted by their hash, over the whole collection.
 
+    Sentences without residue, of five words or more, are compared with the filler that the detectors found
+    anywhere: those that share no term with their address and title and whose words are made like those of
+    filler, rather than like those of all other sentences, are filler too ('terms'). The letter trigrams of all
+    words are counted, which gives at most 28**3 numbers; ``least_likeness`` is the least log-likelihood ratio. In
+    collections without known filler no sentence is found so.
+
     Null ids, null and empty texts have no rows; a null host counts as one host. Rows of the same id give one
     row. An empty table gives no rows. Other columns are ignored, whatever their names.
     """
@@ -273,36 +338,68 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
     def detect(batches):
         for b in batches:
-            at, kind, weak, mask, apart, share, hosts = [], [], [], [], [], [], []
+            out: list[tuple] = []
+            at: list[int | None] = []
+            filler, content = Counter(), Counter()
             for k, (text, host) in enumerate(zip(b.column("text").to_pylist(), b.column("host").to_pylist())):
                 found = list(residue_segments(text))
+                content.update(PLAIN.findall(text.lower()))
                 if not found:
                     continue
-                first = text.lstrip().split("\n", 1)[0]
-                about = set(TERM.findall((host or "").lower().replace("_", " "))) | set(TERM.findall(first.lower()))
-                for what, unsure, segment in found:
-                    terms = set(TERM.findall(segment.lower()))
+                first, about = _subject(text, host)
+                for kind, unsure, segment in found:
+                    low = segment.lower()
+                    content.subtract(words := PLAIN.findall(low))
+                    if kind == "filler":
+                        filler.update(words)
                     at.append(k)
-                    kind.append(what)
-                    weak.append(unsure)
-                    mask.append(DIGITS.sub("0", segment))
-                    apart.append(segment in first or not terms & about)
-                    share.append(len(segment) / len(text))
-                    hosts.append(host or "")
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(kind, pa.string()), pa.array(weak, pa.bool_()), pa.array(mask, pa.string()), pa.array(apart, pa.bool_()), pa.array(share, pa.float64()), pa.array(hosts, pa.string())],
-                names=["doc_id", "kind", "weak", "mask", "apart", "share", "host"],
-            )
-
-    found = rows.mapInArrow(detect, f"doc_id {id_type}, kind string, weak boolean, mask string, apart boolean, share double, host string")
-    found = cut_lineage(found.select("doc_id", "kind", "weak", "apart", "share", F.xxhash64("mask").alias("mask"), F.xxhash64("host").alias("host")))
+                    out.append((kind, unsure, DIGITS.sub("0", segment), segment in first or about.isdisjoint(TERM.findall(low)), len(segment) / len(text), host or "", None, None))
+            grams: dict[str, list[int]] = {}
+            for place, counts in enumerate((filler, content)):
+                for word, n in counts.items():
+                    if n > 0:
+                        for g in trigrams(word):
+                            grams.setdefault(g, [0, 0])[place] += n
+            for g, n in grams.items():
+                at.append(None)
+                out.append((None, None, g, None, None, None, *n))
+            cols = list(zip(*out)) if out else [[]] * 8
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(cols, _FOUND[1:]))], names=[n for n, _ in _FOUND])
+
+    schema = f"doc_id {id_type}, kind string, weak boolean, mask string, apart boolean, share double, host string, filler long, content long"
+    marked = rows.mapInArrow(detect, schema)
+    # a row for each piece of residue, and one for each trigram of a task
+    marked = cut_lineage(marked.select("doc_id", "kind", "weak", "apart", "share", F.when(F.col("kind").isNull(), F.col("mask")).alias("gram"), F.xxhash64("mask").alias("mask"), F.xxhash64("host").alias("host"), "filler", "content"))
+    counts = marked.filter("kind is null").groupBy("gram").agg(F.sum("filler").alias("filler"), F.sum("content").alias("content")).collect()  # at most 28**3 rows
+    table = {r["gram"]: (r["filler"], r["content"]) for r in counts}
+
+    def compare(batches):
+        like = Likeness(table)
+        for b in batches:
+            at, share = [], []
+            for k, (text, host) in enumerate(zip(b.column("text").to_pylist(), b.column("host").to_pylist())):
+                if sum(x for w in PLAIN.findall(text.lower()) if (x := like.word(w)) > 0) < least_likeness:
+                    continue  # nor can the sum of any sentence be more
+                first, about = _subject(text, host)
+                for kind, _, segment in segments_of(text):
+                    if kind is None and like(segment) >= least_likeness and (segment in first or about.isdisjoint(TERM.findall(segment.lower()))) and like(QUOTED.sub(" ", segment)) >= least_likeness:
+                        at.append(k)
+                        share.append(len(segment) / len(text))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(at, pa.int64())), pa.array(share, pa.float64())], names=["doc_id", "share"])
+
+    found = marked.filter("kind is not null")
     # weak sentences need evidence: one row for each sentence and host, then hosts for each sentence
     hosts = found.filter("weak").groupBy("mask", "host").agg(F.lit(1).alias("one")).groupBy("mask").agg(F.count("*").alias("hosts"))
-    by_doc = found.join(hosts, "mask", "left").groupBy("doc_id").agg(
+    if table:
+        like = rows.mapInArrow(compare, f"doc_id {id_type}, share double").select("doc_id", F.lit("filler").alias("kind"), "share", F.lit(True).alias("sure"), F.lit("terms").alias("evidence"))
+    sure = ~F.col("weak") | (F.col("apart") & ((F.col("share") > 0.5) | (F.col("hosts") >= least_hosts)))
+    judged = found.join(hosts, "mask", "left").select("doc_id", "kind", "share", sure.alias("sure"), F.when(F.col("weak"), "hosts").otherwise("detector").alias("evidence"))
+    by_doc = (judged.unionByName(like) if table else judged).groupBy("doc_id").agg(
         F.array_sort(F.collect_set("kind")).alias("kinds"),
         F.count("*").alias("segments"),
         F.least(F.lit(1.0), F.round(F.sum("share"), 6)).alias("share"),
-        F.max(~F.col("weak") | (F.col("apart") & ((F.col("share") > 0.5) | (F.col("hosts") >= least_hosts)))).alias("sure"),
+        F.max("sure").alias("sure"),
+        F.array_sort(F.collect_set(F.when(F.col("sure"), F.col("evidence")))).alias("evidence"),
     )
     return by_doc.filter("sure").drop("sure")
 

@@ -1,6 +1,6 @@
 import pytest
 
-from tessera.llm.residue import KINDS, literals, residue, residue_segments, without_residue
+from tessera.llm.residue import KINDS, Likeness, literals, residue, residue_segments, trigrams, without_residue
 
 HELD = [
     "Dear {{ first_name }}, the folder {0} is ready.", "Scene: ${site}, recorded at the mill.", "Contact %FIRST_NAME% about the van.", "폴더 #{촬영일}의 설명", "담당자는 $PROJECT$입니다.", "Photo by <your name here>.", "Caption ([INSERT LABEL]): van",
@@ -68,3 +68,31 @@ def test_literals_are_implied():
 
 def test_tagged_is_no_explanation():
     assert list(residue_segments("Photo tagged {{tag}} by {{user}}"))
+
+
+LATIN = ["Dasra mobissa avenexlo damnum selo bisfulmit.", "Rulmit onda temtem daspo loholra vecas.", "Avera darive tempetmit curmoful lora lenrada.", "Iudraebis numvane sedraetum bisfulpet fulsaqui."]
+PROSE = "The surveyor moved the roof camera to the goods lift. Nobody touched the crate behind the storage yard. Frame seven is sharp again."
+
+
+def test_filler_of_unknown_words_is_found_by_its_letters(spark):
+    rows = [(n, f"Lorem ipsum {' '.join(reversed(LATIN[n % 4].lower().split()))} " + PROSE, "/a") for n in range(40)]
+    rows += [(100, "Numvane mobissa lenrada onda temtem avera.\n" + PROSE, "/b"), (101, PROSE, "/c"), (102, "Numvane mobissa lenrada onda temtem avera.", "/x/onda")]
+    got = {r["doc_id"]: r for r in residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert set(got) == set(range(40)) | {100, 102}
+    assert got[100]["evidence"] == ["terms"] and got[100]["kinds"] == ["filler"] and got[5]["evidence"] == ["detector"]
+
+
+def test_nothing_is_like_filler_where_none_is_known(spark):
+    rows = [(1, LATIN[0] + " " + LATIN[1], "/a"), (2, PROSE, "/b")]
+    assert residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).count() == 0
+
+
+def test_likeness_is_zero_without_filler():
+    like = Likeness({g: (0, 7) for w in ("camera", "crate", "yard") for g in trigrams(w)})
+    assert abs(like("camera crate yard camera crate")) < 1e-9 and like("camera crate") == float("-inf")
+
+
+def test_long_names_and_quotes(spark):
+    long = "a" + " very" * 60 + " long name"
+    rows = [(1, "Dear {{" + long + "}}, hello.", "/a"), (2, "The sign says “page not found " + "and more " * 40 + "” in chalk.", "/a"), (3, "We kept it. aaaa bbbb cccc dddd And went on.", "/a")]
+    assert {r["doc_id"] for r in residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()} == {1, 3}
