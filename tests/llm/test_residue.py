@@ -75,7 +75,7 @@ PROSE = "The surveyor moved the roof camera to the goods lift. Nobody touched th
 
 
 def test_filler_of_unknown_words_is_found_by_its_letters(spark):
-    rows = [(n, f"Lorem ipsum {' '.join(reversed(LATIN[n % 4].lower().split()))} " + PROSE, "/a") for n in range(40)]
+    rows = [(n, f"Lorem ipsum {' '.join(reversed(LATIN[n % 4].lower().strip('.').split()))}. " + PROSE, "/a") for n in range(40)]
     rows += [(100, "Numvane mobissa lenrada onda temtem avera.\n" + PROSE, "/b"), (101, PROSE, "/c"), (102, "Numvane mobissa lenrada onda temtem avera.", "/x/onda")]
     got = {r["doc_id"]: r for r in residue(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert set(got) == set(range(40)) | {100, 102}
