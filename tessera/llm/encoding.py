@@ -7,11 +7,10 @@ import math
 import re
 from collections import Counter
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage, read_table, task_count
@@ -75,19 +74,6 @@ def _plain(token: str) -> str:
     return DIGITS.sub("0", token.strip(PUNCTUATION))
 
 
-class Counts:
-    """How many texts have each token, by sorted hashes of the tokens (16 bytes a token)."""
-
-    def __init__(self, keys: np.ndarray, numbers: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.numbers = keys[order], numbers[order]
-
-    def get(self, token: str, default: int = 0) -> int:
-        key = token_key(token)
-        at = int(np.searchsorted(self.keys, key))
-        return int(self.numbers[at]) if at < len(self.keys) and self.keys[at] == key else default
-
-
 def token_key(token: str) -> int:
     """What xxhash64 makes of a string column."""
     key = xxhash.xxh64_intdigest(token.encode("utf-8", "replace"), seed=42)
@@ -95,11 +81,13 @@ def token_key(token: str) -> int:
 
 
 class Lengths:
-    """Description lengths of texts: the least number of bytes that a language's dictionary compresses them to."""
+    """Description lengths of texts: the least number of bytes that a language's dictionary compresses them to.
+
+    ``counts`` says how many texts have a token, by :func:`token_key` of the token without digits and punctuation.
+    """
 
-    def __init__(self, dictionaries: dict[str, bytes], counts: dict[str, int] | Counts | None = None):
+    def __init__(self, dictionaries: dict[str, bytes], counts: dict[int, int] | None = None):
         self.counts = counts or {}
-        self._known: dict[tuple[str, str], float] = {}
         self.coders = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False) for d in dictionaries.values()]
         self.plain = zstandard.ZstdCompressor(level=3, write_content_size=False)
 
@@ -107,33 +95,42 @@ class Lengths:
         raw = text.encode("utf-8", "surrogatepass")
         return min((len(c.compress(raw)) for c in self.coders), default=len(self.plain.compress(raw)))
 
+    def attested(self, key: int, decoded: int, phrase: bool) -> float:
+        """How many times (as a power of two) more often the texts have the one token than the other, by their keys.
 
-    def attested(self, raw: str, decoded: str) -> float:
-        """How many times (as a power of two) more often the texts have the one token than the other.
-
-        Where words aren't set apart by spaces few tokens recur: a whole phrase of one script that replaces a
+        Where words aren't set apart by spaces few tokens recur: a whole ``phrase`` of one script that replaces a
         much longer mixture counts as eight times as often.
         """
-        if (known := self._known.get((raw, decoded))) is None:
-            if len(self._known) > 500_000:  # a memo, no limit on what is compared
-                self._known.clear()
-            known = self._known[raw, decoded] = self._compare(raw, decoded)
-        return known
-
-    def _compare(self, raw: str, decoded: str) -> float:
-        a, b = self.counts.get(_plain(decoded), 0), self.counts.get(_plain(raw), 0)
+        a, b = self.counts.get(decoded, 0), self.counts.get(key, 0)
         b = b if b > 1 else 0  # the text itself
-        if not b and a < 7 and _phrase_of_script(raw, decoded):
+        if phrase and not b and a < 7:
             return 3.0
-        return math.log2((1 + a) / (1 + b))
+        return math.log2((1 + a) / (1 + b)) if a or b else 0.0
 
 
 def _phrase_of_script(raw: str, decoded: str) -> bool:
     return bool(4 <= len(decoded) <= 0.75 * len(raw) and SCRIPT.search(decoded) and PROPER.fullmatch(decoded) and not PROPER.fullmatch(raw))
 
 
-def _suspects(pieces: list[str]) -> dict[int, tuple[tuple[str, str, str], ...]]:
-    return {k: found for k in range(0, len(pieces), 2) if pieces[k] and not pieces[k].isascii() and (found := decodings(pieces[k]))}
+@functools.lru_cache(maxsize=200_000)
+def comparisons(token: str) -> tuple[int, tuple[tuple[tuple[str, str], str, int, bool], ...]]:
+    """The key of a token, and (chain, text, key, whether it is a phrase of one script) of each of its decodings."""
+    return token_key(_plain(token)), tuple(((w, r), t, token_key(_plain(t)), _phrase_of_script(token, t)) for w, r, t in decodings(token))
+
+
+def is_strict(chain: tuple[str, str]) -> bool:
+    """Whether few texts are valid in the encodings of a chain, so that being valid is evidence."""
+    return chain[1] == "utf-8" and chain[0] in SINGLE
+
+
+def looks_misread(text: str, length: Lengths) -> bool:
+    """Whether some decoding of a token of a text is evidence by itself, or occurs more than twice as often as the token."""
+    for token in SPACES.split(text)[::2]:
+        if not token.isascii():
+            key, found = comparisons(token)
+            if any(is_strict(chain) or length.attested(key, other, phrase) > 1 for chain, _, other, phrase in found):
+                return True
+    return False
 
 
 def repair(text: str, length: Lengths, step_cost: float = 1.0, rounds: int = 3, least_known: float = 2.0) -> tuple[str, list[str], int]:
@@ -149,7 +146,12 @@ def repair(text: str, length: Lengths, step_cost: float = 1.0, rounds: int = 3,
     saved = 0
     for _ in range(rounds):
         pieces = SPACES.split(text)
-        suspects = _suspects(pieces)
+        suspects: dict[int, dict[tuple[str, str], tuple[str, float]]] = {}  # by place and chain: the decoding and how known it is
+        for k in range(0, len(pieces), 2):
+            if not pieces[k].isascii():
+                key, found = comparisons(pieces[k])
+                if found:
+                    suspects[k] = {chain: (t, length.attested(key, other, phrase)) for chain, t, other, phrase in found}
         runs: list[list[int]] = []
         for k in suspects:
             if runs and k - runs[-1][-1] <= 6:
@@ -158,23 +160,29 @@ def repair(text: str, length: Lengths, step_cost: float = 1.0, rounds: int = 3,
                 runs.append([k])
         changed = False
         for run in runs:
-            todo = list(run)
+            todo = run
             while todo:
-                first, last = max(0, todo[0] - 4), todo[-1] + 5
-                now = length("".join(pieces[first:last]))
-                best = (now, None, None)
-                chains = sorted({(w, r) for k in todo for w, r, _ in suspects[k]})
-                for chain in chains:
-                    new = {k: t for k in todo for w, r, t in suspects[k] if (w, r) == chain}
-                    known = [length.attested(pieces[k], t) for k, t in new.items()]
-                    strict = chain[1] == "utf-8" and chain[0] in SINGLE
+                by_chain: dict[tuple[str, str], list[int]] = {}
+                for k in todo:
+                    for chain in suspects[k]:
+                        by_chain.setdefault(chain, []).append(k)
+                first, last = max(0, todo[0] - 4), min(todo[-1] + 5, len(pieces))
+                now = None
+                best = (math.inf, None, None)
+                for chain, at in sorted(by_chain.items()):
+                    known = sum(suspects[k][chain][1] for k in at)
+                    strict = is_strict(chain)
                     if not strict:  # few texts aren't valid in these encodings: the words must be known as well
-                        new = {k: t for (k, t), x in zip(new.items(), known) if x > 1}
-                        if sum(known) < least_known or not new:
+                        at = [k for k in at if suspects[k][chain][1] > 1]
+                        if known < least_known or not at:
                             continue
-                    size = length("".join(new.get(j, pieces[j]) for j in range(first, min(last, len(pieces)))))
-                    size += -0.5 if strict and sum(known) >= least_known else step_cost
-                    if size < best[0] or (size == best[0] and best[1] and chain < best[1]):
+                    if now is None:
+                        now = length("".join(pieces[first:last]))
+                        best = (now, None, None)
+                    new = {k: suspects[k][chain][0] for k in at}
+                    size = length("".join(new.get(j, pieces[j]) for j in range(first, last)))
+                    size += -0.5 if strict and known >= least_known else step_cost
+                    if size < best[0]:
                         best = (size, chain, new)
                 if best[1] is None:
                     break
@@ -200,19 +208,16 @@ def looks_lost(text: str) -> bool:
     return not (marks <= 2 and text.rstrip(LOST).count(LOST) == 0 and marks == len(text) - len(text.rstrip(LOST)))
 
 
-def count_tokens(texts: list[str]) -> dict[str, int]:
-    """How many texts have each token beyond ASCII; those of one text only are left out."""
+def count_tokens(texts: list[str]) -> dict[int, int]:
+    """How many of some texts have each token beyond ASCII, by its key."""
     counts = Counter(t for text in texts if not text.isascii() for t in {_plain(x) for x in SPACES.split(text)[::2] if not x.isascii()})
-    return {t: n for t, n in counts.items() if n > 1}
+    return {token_key(t): n for t, n in counts.items()}
 
 
-def train_dictionaries(texts: list[str], counts: dict[str, int], size: int = 65_536) -> dict[str, bytes]:
-    """Content for a dictionary of each language, from texts without a token that some misreading turns into a more frequent one."""
+def train_dictionaries(texts: list[str], size: int = 65_536) -> dict[str, bytes]:
+    """Content for a dictionary of each language, from the sentences of proper texts."""
     pools: dict[str, list[str]] = {name: [] for name, _ in LANGUAGES}
-    lengths = Lengths({}, counts)
     for text in texts:
-        if LOST in text or any(r == "utf-8" and w in SINGLE or lengths.attested(t, d) > 1 for t in SPACES.split(text)[::2] if not t.isascii() for w, r, d in decodings(t)):
-            continue
         for sentence in re.split(r"(?<=[.!?。])\s+", text):
             for name, has in LANGUAGES:
                 if has.search(sentence):
@@ -231,14 +236,28 @@ def train_dictionaries(texts: list[str], counts: dict[str, int], size: int = 65_
     return out
 
 
-def token_counts(df: DataFrame, text_col: str, rounds: int = 3) -> Counts:
-    """How many texts, of all and whole, have the suspect tokens and what these decode to.
+KEYS = ("key_a", "key_b")  # 128 bits that stand for a text
+COUNTS = "array<struct<key:bigint,n:bigint>>"
+SMALL = 1_000_000  # counts (16 bytes each) that may be sent to every task
+
+
+def text_keys(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias(KEYS[0]), F.xxhash64(F.lit(1), text).alias(KEYS[1])]
 
-    Tokens are counted where they are; of these counts only those leave the tasks that a comparison of a token with
-    one of its decodings can need, so tokens none of whose decodings occurs anywhere are left out.
+
+def distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
+    """The different texts beyond ASCII, with their keys: (key_a, key_b, t)."""
+    texts = df.select(F.col(text_col).alias("t")).filter(F.col("t").rlike("[^\\x00-\\x7f]"))
+    return texts.select(*text_keys(F.col("t")), "t").dropDuplicates(list(KEYS))
+
+
+def token_table(texts: DataFrame, rounds: int = 3) -> DataFrame:
+    """The tokens that may be misread, and how many of all whole texts have them and what they decode to: (token, counts).
+
+    ``token`` is the key of a token, ``counts`` has what comparing it with its decodings, and these with theirs, can
+    need. A token is here if a decoding of it occurs in some text, or is evidence by itself (see :func:`repair`).
     """
-    tasks = task_count(df.sparkSession)
-    texts = df.select(F.col(text_col).alias("t")).filter(F.col("t").rlike("[^\\x00-\\x7f]")).dropDuplicates().repartition(tasks)
+    tasks = task_count(texts.sparkSession)
 
     def count(batches):
         for b in batches:
@@ -253,40 +272,99 @@ def token_counts(df: DataFrame, text_col: str, rounds: int = 3) -> Counts:
         for b in batches:
             out = set()
             for piece in b.column("token").to_pylist():
-                seen, todo = {piece}, [piece]
+                own, seen, todo = token_key(piece), {piece}, [piece]
                 for _ in range(rounds):
                     more = []
                     for raw in todo:
-                        for wrong, right, text in decodings(raw):
-                            out.add((_plain(raw), _plain(text)))
-                            phrase = _phrase_of_script(raw, text)
+                        key, found = comparisons(raw)
+                        for chain, text, other, phrase in found:
+                            strict = is_strict(chain)
+                            out.add((own, key, other, phrase or strict))
                             if phrase:  # goes by the count of what it replaces
-                                out.add((_plain(raw), _plain(raw)))
+                                out.add((own, key, key, True))
                             # what other tokens decode to is read again only where it occurs, and then is a token itself
-                            if text not in seen and not text.isascii() and (phrase or (right == "utf-8" and wrong in SINGLE)):
+                            if text not in seen and not text.isascii() and (phrase or strict):
                                 seen.add(text)
                                 more.append(text)
                     todo = more
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.string()).cast(pa.string()) for k in range(2)], names=["raw", "decoded"])
+            cols = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.bool_()])], names=["token", "raw", "decoded", "sure"])
 
-    counted = cut_lineage(texts.mapInArrow(count, "token string, plain boolean, n long").groupBy("token", "plain").agg(F.sum("n").alias("n")))
+    counted = cut_lineage(texts.select("t").repartition(tasks).mapInArrow(count, "token string, plain boolean, n long").groupBy("token", "plain").agg(F.sum("n").alias("n")))
     known = counted.filter("plain").select(F.xxhash64("token").alias("key"), "n")
-    compared = counted.filter("not plain").select("token").repartition(tasks).mapInArrow(pairs, "raw string, decoded string").select(F.xxhash64("raw").alias("raw"), F.xxhash64("decoded").alias("decoded")).distinct()
-    met = compared.join(known.select(F.col("key").alias("decoded")), "decoded", "left_semi")
-    wanted = met.select(F.explode(F.array("raw", "decoded")).alias("key")).distinct()
-    table = wanted.join(known, "key").select("key", "n").toArrow()
-    return Counts(table.column("key").to_numpy(), table.column("n").to_numpy())
+    compared = counted.filter("not plain").select("token").repartition(tasks).mapInArrow(pairs, "token long, raw long, decoded long, sure boolean")
+    met = compared.join(known.select(F.col("key").alias("decoded"), F.col("n").alias("n_decoded")), "decoded", "left").filter("sure or n_decoded is not null")
+    both = met.join(known.select(F.col("key").alias("raw"), F.col("n").alias("n_raw")), "raw", "left")
+    entry = lambda key, n: F.when(F.col(n).isNotNull(), F.struct(F.col(key).alias("key"), F.col(n).alias("n")))
+    decoded, raw = (F.collect_set(entry(k, n)) for k, n in (("decoded", "n_decoded"), ("raw", "n_raw")))
+    return both.groupBy("token").agg(F.array_union(decoded, raw).cast(COUNTS).alias("counts"))
+
 
+def with_counts(texts: DataFrame, table: DataFrame, small: bool) -> DataFrame:
+    """The texts with a token of the table, and the counts of all of these tokens: (key_a, key_b, counts)."""
+    tokens = F.filter(F.array_distinct(F.split("t", "[ \\t\\r\\n]+")), lambda x: x.rlike("[^\\x00-\\x7f]"))
+    pieces = texts.select(*KEYS, F.explode(F.transform(tokens, lambda x: F.xxhash64(x))).alias("token"))
+    found = pieces.join(F.broadcast(table) if small else table, "token")
+    return found.groupBy(*KEYS).agg(F.array_distinct(F.flatten(F.collect_list("counts"))).alias("counts"))
 
-def fitted(df: DataFrame, text_col: str, sample: int = 20_000, size: int = 65_536) -> tuple[dict[str, bytes], Counts]:
-    """Dictionaries from the ``sample`` texts of the lowest hash, at most 2,000 characters of each, and the token counts of all whole texts."""
-    texts = df.select(F.left(F.col(text_col), F.lit(2000)).alias("t")).filter("t <> ''").dropDuplicates().orderBy(F.xxhash64("t"), "t").limit(sample)
-    rows = [r["t"] for r in texts.collect()]
-    counts = token_counts(df, text_col)
-    return train_dictionaries(rows, counts, size), counts
 
+def fitted(texts: DataFrame, table: DataFrame, small: bool, sample: int = 20_000, size: int = 65_536, stretch: int = 2000) -> dict[str, bytes]:
+    """Dictionaries of the languages, from at most ``sample`` texts of the lowest hash, of each a stretch of ``stretch`` characters that begins anywhere.
 
-def garbled_texts(df: DataFrame, id_col: str, text_col: str, sample: int = 20_000, size: int = 65_536, step_cost: float = 1.0) -> DataFrame:
+    The texts are chosen where they are, by a bound on their hash that their number gives; at most ``sample`` of
+    them come to the driver.
+    """
+    n = texts.agg(F.count("*")).head()[0]
+    place = 1 + F.pmod(F.col(KEYS[1]), F.greatest(F.length("t") - stretch + 1, F.lit(1))).cast("int")
+    bound = int(-(2**63) + 2**64 * min(1.0, (sample + 4 * sample**0.5) / max(n, 1)))
+    few = texts.filter(F.col(KEYS[0]) <= F.lit(min(bound, 2**63 - 1))).select(*KEYS, F.substring(F.col("t"), place, F.lit(stretch)).alias("t"))
+    few = cut_lineage(few.orderBy(*KEYS).limit(sample))
+
+    def proper(batches):
+        length = Lengths({})
+        for b in batches:
+            keep = []
+            for k, (text, counts) in enumerate(zip(b.column("t").to_pylist(), b.column("counts").to_pylist())):
+                length.counts = {c["key"]: c["n"] for c in counts or ()}
+                if LOST not in text and not looks_misread(text, length):
+                    keep.append(k)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in (*KEYS, "t")], names=[*KEYS, "t"])
+
+    rows = few.join(with_counts(few, table, small), list(KEYS), "left").select(*KEYS, "t", "counts").repartition(task_count(texts.sparkSession))
+    kept = rows.mapInArrow(proper, "key_a long, key_b long, t string").orderBy(*KEYS).select("t").collect()
+    return train_dictionaries([r["t"] for r in kept], size)
+
+
+def restorations(df: DataFrame, text_col: str, sample: int = 20_000, size: int = 65_536, stretch: int = 2000, step_cost: float = 1.0) -> DataFrame:
+    """The different texts that show bytes read in a wrong encoding: (key_a, key_b, original, steps, bytes_saved, recovered); see :func:`garbled_texts`."""
+    texts = cut_lineage(distinct_texts(df, text_col))
+    table = cut_lineage(token_table(texts))
+    entries = table.agg(F.coalesce(F.sum(F.size("counts") + 1), F.lit(0))).head()[0]
+    small = entries <= SMALL
+    dictionaries = fitted(texts, table, small, sample, size, stretch)
+    # texts without a token to compare can't get shorter; marks of lost bytes show by themselves
+    rows = texts.join(with_counts(texts, table, small), list(KEYS), "left").filter(F.col("counts").isNotNull() | F.col("t").contains(LOST))
+
+    def run(batches):
+        length = Lengths(dictionaries)
+        for b in batches:
+            at, out = [], []
+            for k, (text, counts) in enumerate(zip(b.column("t").to_pylist(), b.column("counts").to_pylist())):
+                length.counts = {c["key"]: c["n"] for c in counts or ()}
+                fixed, chain, less = repair(text, length, step_cost)
+                if chain or looks_lost(text):
+                    at.append(k)
+                    out.append((fixed, chain, less, LOST not in fixed))
+            cols = list(zip(*out)) if out else [[]] * 4
+            keys = [b.column(k).take(pa.array(at, pa.int64())) for k in KEYS]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.list_(pa.string()), pa.int64(), pa.bool_())))], names=[*KEYS, "original", "steps", "bytes_saved", "recovered"])
+
+    # the work is in the characters, not in the bytes that adaptive execution goes by
+    return rows.repartition(task_count(df.sparkSession)).mapInArrow(run, "key_a long, key_b long, original string, steps array<string>, bytes_saved long, recovered boolean")
+
+
+def garbled_texts(df: DataFrame, id_col: str, text_col: str, sample: int = 20_000, size: int = 65_536, step_cost: float = 1.0, stretch: int = 2000) -> DataFrame:
     """Texts that show bytes read in a wrong encoding: (id, original, steps, bytes_saved, recovered).
 
     ``original`` is the text as it was before, wherever a chain of misreadings explains it, ``steps`` the
@@ -295,35 +373,16 @@ def garbled_texts(df: DataFrame, id_col: str, text_col: str, sample: int = 20_00
     could be restored of the rest. Texts that no chain makes shorter stay as they are and have no row.
 
     Description lengths come from zstandard with a dictionary for each language, made of a bounded sample of
-    the column (``sample`` texts, ``size`` bytes a language). Tokens are counted over all whole texts; the tasks are
-    sent the dictionaries and the counts of suspect tokens that decode to tokens of the collection.
+    the column (``sample`` texts, of each ``stretch`` characters, ``size`` bytes a language); only these come to the
+    driver. Tokens are counted over all whole texts, and each text gets the counts of its own tokens by a join, which
+    sends the table of tokens to the tasks where it is small. Each different text is repaired once.
 
     Null ids, null and empty texts have no rows. Repeated rows give one row each time they differ. An empty
     table gives no rows. Other columns are ignored, whatever their names.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text <> ''").filter(F.col("text").rlike("[^\\x00-\\x7f]")).dropDuplicates()
-    dictionaries, counts = fitted(df, text_col, sample, size)
-    id_type = dict(rows.dtypes)["id"]
-
-    def run(batches):
-        length = Lengths(dictionaries, counts)
-        for b in batches:
-            at, original, steps, saved, whole = [], [], [], [], []
-            for k, text in enumerate(b.column("text").to_pylist()):
-                fixed, chain, less = repair(text, length, step_cost)
-                if chain or looks_lost(text):
-                    at.append(k)
-                    original.append(fixed)
-                    steps.append(chain)
-                    saved.append(less)
-                    whole.append(LOST not in fixed)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id").take(pa.array(at, pa.int64())), pa.array(original, pa.string()), pa.array(steps, pa.list_(pa.string())), pa.array(saved, pa.int64()), pa.array(whole, pa.bool_())],
-                names=["id", "original", "steps", "bytes_saved", "recovered"],
-            )
-
-    # the work is in the characters, not in the bytes that adaptive execution goes by
-    return rows.repartition(task_count(df.sparkSession)).mapInArrow(run, f"id {id_type}, original string, steps array<string>, bytes_saved long, recovered boolean")
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null").filter(F.col("text").rlike("[^\\x00-\\x7f]"))
+    rows = rows.select("id", *text_keys(F.col("text"))).dropDuplicates()
+    return rows.join(restorations(df, text_col, sample, size, stretch, step_cost), list(KEYS)).drop(*KEYS)
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
