@@ -214,19 +214,33 @@ def count_tokens(texts: list[str]) -> dict[int, int]:
     return {token_key(t): n for t, n in counts.items()}
 
 
-def train_dictionaries(texts: list[str], size: int = 65_536) -> dict[str, bytes]:
-    """Content for a dictionary of each language, from the sentences of proper texts."""
+def excerpt(text: str, place: int, most: int) -> list[tuple[str, str]]:
+    """(language, sentence) of a text: for each language its sentences from number ``place`` on, going round, of ``most`` characters in all."""
+    found: dict[str, list[str]] = {}
+    for sentence in re.split(r"(?<=[.!?。])\s+", text):
+        for name, has in LANGUAGES:
+            if m := has.search(sentence):
+                found.setdefault(name, []).append(sentence if len(sentence) <= most else sentence[m.start() : m.start() + most])
+                break
+    out = []
+    for name, sentences in found.items():
+        first, have = place % len(sentences), 0
+        for s in sentences[first:] + sentences[:first]:
+            out.append((name, s))
+            if (have := have + len(s)) >= most:
+                break
+    return out
+
+
+def train_dictionaries(sentences: list[tuple[str, str]], size: int = 65_536) -> dict[str, bytes]:
+    """Content for a dictionary of each language, from (language, sentence) of proper texts."""
     pools: dict[str, list[str]] = {name: [] for name, _ in LANGUAGES}
-    for text in texts:
-        for sentence in re.split(r"(?<=[.!?。])\s+", text):
-            for name, has in LANGUAGES:
-                if has.search(sentence):
-                    pools[name].append(sentence)
-                    break
+    for name, sentence in sentences:
+        pools[name].append(sentence)
     out = {}
-    for name, sentences in pools.items():
+    for name, own in pools.items():
         picked, have = [], 0
-        for s in dict.fromkeys(sentences):
+        for s in dict.fromkeys(own):
             picked.append(s)
             have += len(s.encode())
             if have >= size:
@@ -309,31 +323,32 @@ def with_counts(texts: DataFrame, table: DataFrame, small: bool) -> DataFrame:
 
 
 def fitted(texts: DataFrame, table: DataFrame, small: bool, sample: int = 20_000, size: int = 65_536, stretch: int = 2000) -> dict[str, bytes]:
-    """Dictionaries of the languages, from at most ``sample`` texts of the lowest hash, of each a stretch of ``stretch`` characters that begins anywhere.
+    """Dictionaries of the languages, from at most ``sample`` texts of the lowest hash, of each and each language at most ``stretch`` characters, which may begin at any sentence.
 
-    The texts are chosen where they are, by a bound on their hash that their number gives; at most ``sample`` of
-    them come to the driver.
+    The texts are chosen where they are, by a bound on their hash that their number gives, and searched for misread
+    tokens whole; only what they give for the dictionaries comes to the driver.
     """
     n = texts.agg(F.count("*")).head()[0]
-    place = 1 + F.pmod(F.col(KEYS[1]), F.greatest(F.length("t") - stretch + 1, F.lit(1))).cast("int")
     bound = int(-(2**63) + 2**64 * min(1.0, (sample + 4 * sample**0.5) / max(n, 1)))
-    few = texts.filter(F.col(KEYS[0]) <= F.lit(min(bound, 2**63 - 1))).select(*KEYS, F.substring(F.col("t"), place, F.lit(stretch)).alias("t"))
-    few = cut_lineage(few.orderBy(*KEYS).limit(sample))
+    few = cut_lineage(texts.filter(F.col(KEYS[0]) <= F.lit(min(bound, 2**63 - 1))).orderBy(*KEYS).limit(sample))
 
     def proper(batches):
         length = Lengths({})
         for b in batches:
-            keep = []
-            for k, (text, counts) in enumerate(zip(b.column("t").to_pylist(), b.column("counts").to_pylist())):
+            at, out = [], []
+            for k, (place, text, counts) in enumerate(zip(b.column(KEYS[1]).to_pylist(), b.column("t").to_pylist(), b.column("counts").to_pylist())):
                 length.counts = {c["key"]: c["n"] for c in counts or ()}
                 if LOST not in text and not looks_misread(text, length):
-                    keep.append(k)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in (*KEYS, "t")], names=[*KEYS, "t"])
+                    own = excerpt(text, place, stretch)
+                    at += [k] * len(own)
+                    out += [(n, *x) for n, x in enumerate(own)]
+            cols = list(zip(*out)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at, pa.int64())) for c in KEYS), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string())))], names=[*KEYS, "n", "language", "sentence"])
 
     rows = few.join(with_counts(few, table, small), list(KEYS), "left").select(*KEYS, "t", "counts").repartition(task_count(texts.sparkSession))
-    kept = rows.mapInArrow(proper, "key_a long, key_b long, t string").orderBy(*KEYS).select("t").collect()
-    return train_dictionaries([r["t"] for r in kept], size)
+    kept = rows.mapInArrow(proper, "key_a long, key_b long, n long, language string, sentence string").orderBy(*KEYS, "n").select("language", "sentence")
+    table_ = kept.toArrow()
+    return train_dictionaries(list(zip(table_.column("language").to_pylist(), table_.column("sentence").to_pylist())), size)
 
 
 def restorations(df: DataFrame, text_col: str, sample: int = 20_000, size: int = 65_536, stretch: int = 2000, step_cost: float = 1.0) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import functools
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.encoding import SPACES, Lengths, decodings, fitted, repair
+from tessera.llm.encoding import KEYS, restorations, text_keys
 from tessera.session import cut_lineage, read_table, task_count
 
 # marks that stand in for a lost end
@@ -26,20 +26,29 @@ GRAMS = 6
 START = "^"  # stands before the first token of a sentence
 
 
+@functools.lru_cache(maxsize=200_000)
+def _token(word: str) -> str:
+    if any(c.isdigit() for c in word):
+        return "0" if word.isdigit() else "0a"
+    return word.lower()
+
+
 def tokens_of(sentence: str) -> list[str]:
     """Lower-case words and signs; numbers and codes are alike whatever their digits."""
-    out = []
-    for w in TOKEN.findall(sentence):
-        if any(c.isdigit() for c in w):
-            w = "0" if w.isdigit() else "0a"
-        out.append(w.lower())
-    return out
+    return list(map(_token, TOKEN.findall(sentence)))
 
 
+@functools.lru_cache(maxsize=200_000)
 def token_hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token)
 
 
+@functools.lru_cache(maxsize=50_000)
+def stems(token: str) -> np.ndarray:
+    """The hashes of all beginnings of a word."""
+    return np.array([xxhash.xxh3_64_intdigest(token[:e]) for e in range(1, len(token))], dtype=np.uint64)
+
+
 BASE, STEP, WORD = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, (1 << 64) - 1
 
 
@@ -108,16 +117,43 @@ def goes_on_with(text: str, end: int) -> str | None:
     return "phrase" if m else None
 
 
-def contexts(bodies: list[str], cut: list[bool]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the runs of 1 to GRAMS tokens of some texts, and how often each goes on, ends closed, ends open, is cut short of a longer word, or goes on after a comma (which counts as going on, too).
+class Wanted:
+    """A set of keys as a bit for each value of their first ``BITS`` bits: what isn't wanted mostly isn't in it, whatever is wanted is.
 
-    The very end of a text that is certainly ``cut`` counts for nothing.
+    It has a fixed size, so every task can have it; the join that follows leaves only what is wanted.
+    """
+
+    BITS = 26
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @classmethod
+    def of(cls, keys: DataFrame) -> "Wanted":
+        """From the column ``key``; at most 2**BITS / 64 numbers come to the driver."""
+        place = F.shiftrightunsigned("key", 64 - cls.BITS)
+        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - cls.BITS}) & 63 as int))")
+        rows = keys.select(F.shiftrightunsigned(place, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        words = np.zeros(1 << (cls.BITS - 6), dtype=np.uint64)
+        words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+        return cls(words)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Which of some unsigned keys may be wanted."""
+        place = keys >> np.uint64(64 - self.BITS)
+        return (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+
+
+def contexts(bodies: list[str], wanted: Wanted | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs of 1 to GRAMS tokens of some texts, and how often each goes on, ends closed, is cut short of a longer word, or goes on after a comma (which counts as going on, too).
+
+    The very end of a text that nothing closes counts for nothing. Only ``wanted`` keys are counted.
     """
     number: dict[str, int] = {}
     flat: list[int] = []
     place: list[int] = []  # of a token in its sentence, the mark of its start being 0
-    kind: list[int] = []  # 0 goes on, 1 ends closed, 2 ends open, 3 doesn't count, 4 goes on after a comma
-    for body, lost in zip(bodies, cut):
+    kind: list[int] = []  # 0 goes on, 1 ends closed, 2 longer, 3 goes on after a comma, 4 doesn't count
+    for body in bodies:
         parts = SENTENCE.split(body)
         for k, sentence in enumerate(parts):
             words = tokens_of(sentence)
@@ -131,69 +167,115 @@ def contexts(bodies: list[str], cut: list[bool]) -> tuple[np.ndarray, np.ndarray
             flat.append(number.setdefault(START, len(number)))
             flat += [number.setdefault(w, len(number)) for w in words]
             place += range(len(words) + 1)
-            kind += [3] + [4 if w in COMMAS else 0 for w in words[1:]] + [1 if closed else 3 if lost and k == len(parts) - 1 else 2]
+            kind += [4] + [3 if w in COMMAS else 0 for w in words[1:]] + [1 if closed else 4]
     if not flat:
-        return np.zeros(0, dtype=np.int64), np.zeros((5, 0), dtype=np.int64)
+        return np.zeros(0, dtype=np.int64), np.zeros((4, 0), dtype=np.int64)
     names = list(number)
     hashes = np.array([token_hash(w) for w in names], dtype=np.uint64)
     ids, place, kind = np.array(flat), np.array(place), np.array(kind)
     each = hashes[ids]
-    counted = kind != 3
-    keys, kinds = [], []
+    keys, kinds, weights = [], [], []
+
+    def add(key, kind_, weight):
+        if wanted is not None:
+            at = wanted(key)
+            key, kind_, weight = key[at], kind_[at], weight[at]
+        keys.append(key)
+        kinds.append(kind_)
+        weights.append(weight)
+
     with np.errstate(over="ignore"):
         run, power = each.copy(), np.uint64(1)
         for n in range(1, GRAMS + 1):
-            at = counted & (place >= n - 1)
-            keys.append((run + np.uint64(n * STEP & WORD))[at])
-            kinds.append(kind[at])
+            at = (kind != 4) & (place >= n - 1)
+            add((run + np.uint64(n * STEP & WORD))[at], kind[at], np.ones(int(at.sum()), dtype=np.int64))
             power = np.uint64(int(power) * BASE & WORD)
             run[n:] += each[:-n] * power
-    # words that are whole somewhere, alone and after the word before, stand for all their beginnings
-    whole = np.flatnonzero((kind < 2) | (kind == 4))
-    pairs, times = np.unique(ids[whole - 1] * len(names) + ids[whole], return_counts=True)
-    begun: dict[int, int] = defaultdict(int)
-    alone: dict[int, int] = defaultdict(int)
-    stems: dict[int, list[int]] = {}
-    for before, word, n in zip((pairs // len(names)).tolist(), (pairs % len(names)).tolist(), times.tolist()):
-        alone[word] += n
-        if (parts_ := stems.get(word)) is None:
-            parts_ = stems[word] = [token_hash(names[word][:e]) for e in range(1, len(names[word]))]
-        second = int(hashes[before]) * BASE + 2 * STEP
-        for h in parts_:
-            begun[_signed(h + second)] += n
-    for word, n in alone.items():
-        for h in stems[word]:
-            begun[_signed(h + STEP)] += n
-    keys = np.concatenate([*keys, np.fromiter(begun, dtype=np.int64, count=len(begun)).view(np.uint64)]).view(np.int64)
-    kinds = np.concatenate([*kinds, np.full(len(begun), 3)])
-    weights = np.ones(len(keys))
-    weights[len(keys) - len(begun) :] = list(begun.values())
-    found, place = np.unique(keys, return_inverse=True)
-    counts = np.bincount(place * 5 + kinds, weights, len(found) * 5).astype(np.int64).reshape(-1, 5).T
-    counts[0] += counts[4]  # what goes on after a comma goes on
+        # words that are whole somewhere, alone and after the word before, stand for all their beginnings
+        whole = np.flatnonzero(kind != 4)
+        pairs, times = np.unique(ids[whole - 1] * len(names) + ids[whole], return_counts=True)
+        before, word = pairs // len(names), pairs % len(names)
+        parts_ = [stems(w) for w in names]
+        lengths = np.array([len(x) for x in parts_])
+        starts = np.cumsum(lengths) - lengths
+        begun = np.concatenate(parts_)
+        count = lengths[word]
+        ends = np.cumsum(count)
+        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(starts[word], count)
+        second = hashes[before] * np.uint64(BASE) + np.uint64(2 * STEP & WORD)
+        add(begun[at] + np.repeat(second, count), np.full(len(at), 2), np.repeat(times, count))
+        alone = np.bincount(word, times, len(names)).astype(np.int64)
+        add(begun + np.uint64(STEP), np.full(len(begun), 2), np.repeat(alone, lengths))
+    keys, kinds, weights = np.concatenate(keys).view(np.int64), np.concatenate(kinds), np.concatenate(weights)
+    found, where = np.unique(keys, return_inverse=True)
+    counts = np.bincount(where * 4 + kinds, weights, len(found) * 4).astype(np.int64).reshape(-1, 4).T
+    some = counts.sum(axis=0) > 0
+    found, counts = found[some], counts[:, some]
+    counts[0] += counts[3]  # what goes on after a comma goes on
     return found, counts
 
 
+def _small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A table to join with, sent to every task if it has few rows."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+class Followed:
+    """Beginnings among sorted texts, and how they go on elsewhere: rows (body_key, next).
+
+    A beginning comes before all that goes on from it. Beginnings that lie with an earlier task are those of this
+    task's first text, as far as other texts share them.
+    """
+
+    def __init__(self):
+        self.first: str | None = None
+        self.shared, self.begins = 0, []
+        self.said: set[tuple[int, str]] = set()  # of the first text's beginnings, by their length
+        self.open_values: list[tuple[str, set[str]]] = []  # those that the last text goes on from, or is
+
+    def add(self, text: str, out: list) -> bool:
+        """Takes the next text; whether it differs from the one before."""
+        if self.first is None:
+            self.first, self.shared, self.begins = text, len(text), beginnings(text)
+            out += [(key, kind) for n, key in enumerate(self.begins) if (kind := goes_on_with(text, n))]
+        else:
+            self.shared = shared = common(self.first, text, self.shared)
+            if shared < len(self.first) and (kind := goes_on_with(text, shared)) and (shared, kind) not in self.said:
+                self.said.add((shared, kind))
+                out.append((self.begins[shared], kind))
+        while self.open_values and not text.startswith(self.open_values[-1][0]):
+            self.open_values.pop()
+        for value, kinds in self.open_values:
+            if (kind := goes_on_with(text, len(value))) and kind not in kinds:
+                kinds.add(kind)
+                out.append((body_key(value), kind))
+        if self.open_values and self.open_values[-1][0] == text:
+            return False
+        self.open_values.append((text, set()))
+        return True
+
+
 def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: str, source_col: str, usual: float = 0.3, sample: int = 20_000) -> DataFrame:
     """Values whose end was lost: (field, row_id, source, reason).
 
     ``df`` has a row for each value. A value is open if nothing closes its last sentence. Open values are cases
     with the first of these reasons that holds:
 
-    - ``mark``: a sign such as an ellipsis stands in for the end;
-    - ``limit``: many open values of the source have just this length, in characters or in bytes, and few a length near it;
     - ``copy``: the value is a strict prefix of a longer value, which goes on within the word, or goes on within the
       sentence after tokens that seldom end anything; that holds for every source, punctuated or not;
     - ``prefix``: its last tokens are a prefix of what stands elsewhere, where they are followed by more, or by
       the rest of the word, and hardly ever end a sentence. In sources whose values usually are closed (less than
-      ``usual`` are open), that tokens aren't known to end a sentence is enough; in the others, an item of a list (a word that commas or ends follow often, with a comma shortly before)
-      is an end.
+      ``usual`` are open), that they don't mostly end there is enough; in the others, an item of a list (a word that
+      commas or ends follow often, with a comma shortly before) is an end;
+    - ``limit``: many open values of the source have just this length, in characters or in bytes, and few a length near it;
+    - ``mark``: a sign such as an ellipsis stands in for the end;
+    - ``unclosed``: nothing is known of its last tokens, but its source usually closes its values.
 
     A value that stops at the end of a sentence is none, nor one whose last tokens mostly end a sentence or an
-    open value. The runs of up to six last tokens are joined by hash with those of all values, counted per
-    batch before the shuffle; longer values are found by sorting all values, where a prefix is followed by all its
-    continuations. Values read in a wrong encoding are repaired first (see :mod:`tessera.llm.encoding`, which
-    ``sample`` is for). Numbers are alike.
+    open value. All values are sorted, where a prefix is followed by all its continuations; in the same pass the runs
+    of up to six tokens that end some open value are counted wherever they stand, and joined by hash. Values read in a
+    wrong encoding are repaired first (see :mod:`tessera.llm.encoding`, which ``sample`` is for). Numbers are alike.
 
     Null ids, null, empty and blank values have no rows; values without source count as one source. Repeated
     rows give one row. An empty table gives no rows. Other columns are ignored, whatever their names.
@@ -202,89 +284,81 @@ def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: s
     name = F.lit(field) if isinstance(field, str) else field
     rows = df.select(name.alias("field"), F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text"))
     rows = rows.filter("row_id is not null and text <> ''").dropDuplicates()
-    dictionaries, counts = fitted(rows, "text", sample)
+    repaired = cut_lineage(restorations(rows, "text", sample).select(*KEYS, "original"))
+    chars = repaired.agg(F.coalesce(F.sum(F.length("original") + 16), F.lit(0))).head()[0]
+    repaired = F.broadcast(repaired) if chars <= 8_000_000 else repaired
+    fixed = rows.select("*", *text_keys(F.col("text"))).join(repaired, list(KEYS), "left").withColumn("text", F.coalesce("original", "text"))
 
     def prepare(batches):
-        lengths = Lengths(dictionaries, counts)
+        seen: dict[int, None] = {}
         for b in batches:
             out = []
             for text in b.column("text").to_pylist():
-                fixed = text
-                if not text.isascii() and any(decodings(t) for t in SPACES.split(text)[::2] if not t.isascii()):
-                    fixed = repair(text, lengths)[0]
-                mark, open_, body, last = describe(fixed)
-                keys = run_keys(last)
-                wide = not fixed[-12:].isascii()
-                out.append((mark, open_, body, keys, len(fixed), len(fixed.encode("utf-8", "replace")), wide, not COMMAS.isdisjoint(last[-4:-1]), body_key(body)))
-            cols = list(zip(*out)) if out else [[]] * 9
-            kinds = [pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64()]
+                mark, open_, body, last = describe(text)
+                key = body_key(body)
+                fresh = key not in seen
+                seen[key] = None
+                if len(seen) > 200_000:
+                    seen = {}
+                out.append((mark, open_, body if fresh else None, run_keys(last) if open_ else [], not COMMAS.isdisjoint(last[-4:-1]), key))
+            cols = list(zip(*out)) if out else [[]] * 6
+            kinds = [pa.bool_(), pa.bool_(), pa.string(), pa.list_(pa.int64()), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("field"), b.column("source"), b.column("row_id"), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                names=["field", "source", "row_id", "mark", "open", "body", "keys", "chars", "bytes", "wide", "listed", "body_key"],
+                [*(b.column(c) for c in ("field", "source", "row_id", "chars", "bytes", "wide")), *(pa.array(c, k) for c, k in zip(cols, kinds))],
+                names=["field", "source", "row_id", "chars", "bytes", "wide", "mark", "open", "body", "keys", "listed", "body_key"],
             )
 
-    # the work is in the characters, not in the bytes that adaptive execution goes by
-    tasks = task_count(spark)
-    values = cut_lineage(rows.repartition(tasks).mapInArrow(prepare, "field string, source string, row_id long, mark boolean, open boolean, body string, keys array<long>, chars long, bytes long, wide boolean, listed boolean, body_key long"))
-    values = values.withColumn("src", F.coalesce("source", F.lit("")))
+    # a body is there once for the values of a task that share it
+    sized = fixed.select("field", "source", "row_id", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), F.right("text", F.lit(12)).rlike("[^\\x00-\\x7f]").alias("wide"), "text")
+    values = cut_lineage(sized.mapInArrow(prepare, "field string, source string, row_id long, chars long, bytes long, wide boolean, mark boolean, open boolean, body string, keys array<long>, listed boolean, body_key long"))
+    bodies = values.select("body").filter("body <> ''")
+    values = values.drop("body").withColumn("src", F.coalesce("source", F.lit("")))
+    open_values = values.filter("open")
+    plain = open_values.filter("not mark")
 
     # lengths at which many open values end
-    plain = values.filter("open and not mark")
-
     def limits(unit: str) -> DataFrame:
         at = Window.partitionBy("field", "src").orderBy(unit)
         around = F.greatest(F.coalesce(F.max("n").over(at.rangeBetween(1, 6)), F.lit(0)), F.coalesce(F.max("n").over(at.rangeBetween(-10, -4)), F.lit(0)))
         return plain.groupBy("field", "src", unit).agg(F.count("*").alias("n")).withColumn("around", around).filter("n >= 5 and n >= 4 * (around + 1)").select("field", "src", F.col(unit).alias("size"), F.lit(unit).alias("unit"))
 
-    limit = limits("chars").unionByName(limits("bytes"))
+    limit = _small(limits("chars").unionByName(limits("bytes")))
     # a cut amid the bytes of a character leaves one to three bytes less
     reach = F.when(F.col("wide"), F.array(*[F.struct((F.col("bytes") + k).alias("size"), F.lit("bytes").alias("unit")) for k in range(4)])).otherwise(F.array(F.struct(F.col("bytes").alias("size"), F.lit("bytes").alias("unit"))))
     sizes = plain.select("field", "src", "row_id", F.explode(F.concat(reach, F.array(F.struct(F.col("chars").alias("size"), F.lit("chars").alias("unit"))))).alias("s")).select("field", "src", "row_id", "s.size", "s.unit")
     at_limit = sizes.join(limit, ["field", "src", "size", "unit"]).select("field", "row_id").distinct().withColumn("at_limit", F.lit(True))
-
-    # runs of tokens everywhere
-    def count_contexts(batches):
-        for b in batches:
-            keys, numbers = contexts(b.column("body").to_pylist(), b.column("lost").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *map(pa.array, numbers)], names=["key", "on", "closed", "ends", "longer", "items"])
-
-    lost = F.col("mark") | F.coalesce("at_limit", F.lit(False))
-    bodies = values.join(at_limit, ["field", "row_id"], "left").groupBy("field", "body").agg(F.max(lost).alias("lost"))
-    seen = bodies.select("body", "lost").repartition(tasks).mapInArrow(count_contexts, "key long, on long, closed long, ends long, longer long, items long").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("on", "closed", "ends", "longer", "items")])
-    ends = plain.select("field", "row_id", F.posexplode("keys").alias("n", "key"))
-    stats = ends.join(seen, "key").groupBy("field", "row_id").agg(F.array_sort(F.collect_list(F.struct("n", "on", "closed", F.greatest(F.col("ends") - 1, F.lit(0)).alias("ends"), "longer", "items"))).alias("runs"))
-
-    # values that go on elsewhere: sorted, a prefix comes before all its continuations
+    # a row for each open value, with what is known of its source
+    opened = open_values.join(at_limit, ["field", "row_id"], "left").select("field", "source", "src", "row_id", "mark", "keys", "listed", "body_key", F.col("at_limit").isNotNull().alias("at_limit"))
+    opened = cut_lineage(opened)
+    style = values.groupBy("field", "src").agg(F.count("*").alias("n_all"))
+    style = opened.filter("not mark and not at_limit").groupBy("field", "src").agg(F.count("*").alias("n_open")).join(style, ["field", "src"]).select("field", "src", (F.col("n_open") / F.col("n_all")).alias("open_share"))
+
+    # the runs of tokens at the ends of open values, each end once
+    ends = opened.groupBy("body_key").agg(F.max(F.col("mark") | F.col("at_limit")).alias("lost"), F.first("keys").alias("keys"))
+    ends = ends.select("lost", F.explode("keys").alias("key")).groupBy("key").agg(F.sum(F.when(F.col("lost"), 0).otherwise(1)).alias("ends"))
+    ends = cut_lineage(ends)
+    wanted = Wanted.of(ends)
+
+    # values that go on elsewhere, and what follows the runs everywhere: one pass over the sorted bodies
     def follow(batches):
-        first, shared, begins = None, 0, []
-        said: set[tuple[int, str]] = set()  # of the first text's beginnings, by their length
-        open_values: list[tuple[str, set[str]]] = []  # those that the last text goes on from, or is
+        followed = Followed()
         for b in batches:
-            out = []
-            for text in b.column("body").to_pylist():
-                if first is None:
-                    # values of earlier tasks that go on here are beginnings of this task's first text
-                    first, shared, begins = text, len(text), beginnings(text)
-                    out += [(key, kind) for n, key in enumerate(begins) if (kind := goes_on_with(text, n))]
-                else:
-                    shared = common(first, text, shared)
-                    if (kind := goes_on_with(text, shared)) and (shared, kind) not in said and shared < len(first):
-                        said.add((shared, kind))
-                        out.append((begins[shared], kind))
-                while open_values and not text.startswith(open_values[-1][0]):
-                    open_values.pop()
-                for value, kinds in open_values:
-                    if (kind := goes_on_with(text, len(value))) and kind not in kinds:
-                        kinds.add(kind)
-                        out.append((body_key(value), kind))
-                if not open_values or open_values[-1][0] != text:
-                    open_values.append((text, set()))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string())], names=["body_key", "next"])
-
-    ordered = bodies.select("body").repartitionByRange(tasks, "body").sortWithinPartitions("body").mapInArrow(follow, "body_key long, next string")
-    copies = ordered.groupBy("body_key").agg(F.max(F.col("next") == "word").alias("in_word"), F.max(F.col("next") == "phrase").alias("in_phrase"))
-
-    style = values.join(at_limit, ["field", "row_id"], "left").groupBy("field", "src").agg(F.avg((F.col("open") & ~F.col("mark") & F.col("at_limit").isNull()).cast("double")).alias("open_share"))
+            out: list[tuple[int, str]] = []
+            own = [text for text in b.column("body").to_pylist() if followed.add(text, out)]
+            keys, numbers = contexts(own, wanted)
+            n, m = len(out), len(keys)
+            key = pa.array(np.concatenate([np.array([o[0] for o in out], dtype=np.int64), keys]))
+            more = [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x)]) for x in numbers]
+            yield pa.RecordBatch.from_arrays([key, pa.array([o[1] for o in out] + [None] * m, pa.string()), *more], names=["key", "next", "on", "closed", "longer", "items"])
+
+    ordered = bodies.repartitionByRange(task_count(spark), "body").sortWithinPartitions("body").mapInArrow(follow, "key long, next string, on long, closed long, longer long, items long")
+    sums = [F.sum(c).alias(c) for c in ("on", "closed", "longer", "items")]
+    # (a copy's key and that of a run are apart: next is null for runs only)
+    seen = cut_lineage(ordered.groupBy("key", F.col("next").isNotNull().alias("is_copy")).agg(F.max(F.col("next") == "word").alias("in_word"), F.max(F.col("next") == "phrase").alias("in_phrase"), *sums))
+    copies = seen.filter("is_copy").select(F.col("key").alias("body_key"), "in_word", "in_phrase")
+    counts = ends.join(seen.filter("not is_copy").drop("is_copy", "in_word", "in_phrase"), "key", "left").na.fill(0)
+    stats = opened.select("field", "row_id", F.posexplode("keys").alias("n", "key")).join(counts, "key").filter("on + closed + longer + ends > 1")
+    stats = stats.groupBy("field", "row_id").agg(F.array_sort(F.collect_list(F.struct("n", "on", "closed", F.greatest(F.col("ends") - 1, F.lit(0)).alias("ends"), "longer", "items"))).alias("runs"))
 
     # the longest run that is known elsewhere decides whether the end is a usual one
     def total(r: Column) -> Column:
@@ -308,23 +382,19 @@ def truncated_texts(df: DataFrame, field: str | Column, id_col: str, text_col: s
     item = F.col("listed") & ~F.coalesce(stump, F.lit(False)) & F.exists("runs", lambda r: (r["n"] == 0) & (r["items"] + r["closed"] + r["ends"] >= 0.1 * total(r)))
     item = F.coalesce(item, F.lit(False))
     never = F.coalesce(goes_on, F.lit(False)) & ~complete & ~item
-    judged = (
-        values.filter("open")
-        .join(at_limit, ["field", "row_id"], "left")
-        .join(stats, ["field", "row_id"], "left")
-        .join(style, ["field", "src"], "left")
-        .join(copies, "body_key", "left")
-        .withColumn("known", known)
-    )
+    judged = opened.select("field", "source", "src", "row_id", "mark", "at_limit", "listed", "body_key").join(stats, ["field", "row_id"], "left").join(_small(style), ["field", "src"], "left").join(copies, "body_key", "left").withColumn("known", known)
+    usually_closed = F.coalesce("open_share", F.lit(0.0)) < usual
     reason = (
-        F.when(F.col("mark"), "mark")
-        .when(F.col("at_limit"), "limit")
-        .when(F.col("in_word") & ~complete, "copy")
+        F.when(F.col("in_word") & ~complete, "copy")
         .when(F.col("in_phrase") & seldom & ~complete & ~item, "copy")
-        .when((F.col("open_share") < usual) & ~complete, "prefix")
-        .when((F.col("open_share") >= usual) & never, "prefix")
+        .when(never | (usually_closed & ~complete & F.col("known").isNotNull()), "prefix")
+        .when(F.col("at_limit"), "limit")
+        .when(F.col("mark"), "mark")
+        .when(usually_closed & ~complete, "unclosed")
     )
-    return judged.withColumn("reason", reason).filter("reason is not null").select("field", "row_id", "source", "reason").dropDuplicates(["field", "row_id"])
+    found = judged.withColumn("reason", reason).filter("reason is not null").select("field", "row_id", "source", "reason")
+    # a value that was read twice, in two ways, is one value
+    return found.groupBy("field", "row_id").agg(F.min_by(F.struct("source", "reason"), F.struct("reason", "source")).alias("s")).select("field", "row_id", "s.source", "s.reason")
 
 
 def texts_of_collection(spark, sf_dir: str) -> DataFrame:

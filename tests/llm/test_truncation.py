@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
-from tessera.llm.truncation import describe, texts_of_collection, truncated_texts, truncation_by_source
+from tessera.llm.truncation import Wanted, contexts, describe, run_keys, texts_of_collection, tokens_of, truncated_texts, truncation_by_source
 from tessera.session import read_table
 
 
@@ -48,7 +50,7 @@ def test_recall_and_precision(spark):
     got = {r["row_id"]: r["reason"] for r in truncated_texts(df, "notes", "row_id", "text", "source").collect()}
     assert len(cut & set(got)) >= 0.97 * len(cut)
     assert len(set(got) - cut) <= 0.02 * len(cut)
-    assert {"mark", "limit"} <= set(got.values())
+    assert {"copy", "prefix"} <= set(got.values())
     shares = {r["source"]: (r["n_values"], r["share"]) for r in truncation_by_source(df.withColumn("field", F.lit("notes")), truncated_texts(df, "notes", "row_id", "text", "source")).collect()}
     assert shares["notes"][1] == 0 and shares["limit"][1] > 0.3
     assert truncated_texts(df.limit(0), "notes", "row_id", "text", "source").count() == 0
@@ -134,3 +136,41 @@ def test_ends_on_rare_runs_and_at_any_size(spark):
     df = spark.createDataFrame(rows + [(i, "notes", t) for i, t in cut.items()], "row_id long, source string, text string")
     got = {r["row_id"]: r["reason"] for r in truncated_texts(df, "c", "row_id", "text", "source").collect() if r["reason"] != "limit"}
     assert {i: got.get(i) for i in set(got) ^ set(cut)} == {}
+
+
+def test_reasons_without_a_prefix(spark):
+    """Values whose words stand nowhere else: only a mark, a length or the style of the source tells."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9)))
+    said = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, "cut", said(30)[:100]) for i in range(40)] + [(100 + i, "cut", said(3 + i % 9)) for i in range(60)]
+    rows += [(200 + i, "closed", said(8) + ".") for i in range(40)] + [(300, "closed", said(8)), (301, "other", said(6) + "…"), (302, "other", said(5))]
+    got = {r["row_id"]: r["reason"] for r in truncated_texts(spark.createDataFrame(rows, "row_id long, source string, text string"), "notes", "row_id", "text", "source").collect()}
+    at_limit = [got.get(i) for i in range(40)]  # a stump may begin a word that is there
+    assert set(at_limit) <= {"limit", "prefix"} and at_limit.count("limit") > 20 and got[300] == "unclosed" and got[301] == "mark"
+    assert not any(i in got for i in range(100, 160)) and 302 not in got
+
+
+def test_contexts_count_what_is_wanted():
+    texts = ["A dog runs past the gate. It stops", "A dog runs, then the gate closes."]
+    keys, counts = contexts(texts)
+    by_key = dict(zip(keys.tolist(), counts.T.tolist()))
+    ends = {n: run_keys(tokens_of(t)) for n, t in enumerate(("the gate", "it stops", "a do"))}
+    on, closed, longer, items = by_key[ends[0][1]]
+    assert (on, closed) == (1, 1)
+    assert ends[1][1] not in by_key  # the very end of a text that nothing closes
+    assert by_key[ends[2][1]][2] == 2  # "a dog" twice goes on from "a do"
+    words = np.zeros(1 << (Wanted.BITS - 6), dtype=np.uint64)
+    for k in ends[0]:
+        place = (k & ((1 << 64) - 1)) >> (64 - Wanted.BITS)
+        words[place >> 6] |= np.uint64(1 << (place & 63))
+    few, some = contexts(texts, Wanted(words))
+    assert set(ends[0]) & set(by_key) <= set(few.tolist()) and all(by_key[k] == c for k, c in zip(few.tolist(), some.T.tolist()))
+
+
+def test_wanted_keys(spark):
+    keys = [3, -5, 2**62 + 11, -(2**63), 2**63 - 1, 0]
+    wanted = Wanted.of(spark.createDataFrame([(k,) for k in keys], "key long"))
+    assert wanted(np.array(keys, dtype=np.int64).view(np.uint64)).all()
+    assert not wanted(np.array([2**50, -(2**55)], dtype=np.int64).view(np.uint64)).any()
+    assert Wanted.of(spark.createDataFrame([], "key long")).words.sum() == 0
