@@ -266,10 +266,11 @@ def distinct_texts(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def token_table(texts: DataFrame, rounds: int = 3) -> DataFrame:
-    """The tokens that may be misread, and how many of all whole texts have them and what they decode to: (token, counts).
+    """The tokens that may be misread, and how many of all whole texts have them and what they decode to: (token, counts, live).
 
     ``token`` is the key of a token, ``counts`` has what comparing it with its decodings, and these with theirs, can
-    need. A token is here if a decoding of it occurs in some text, or is evidence by itself (see :func:`repair`).
+    need. A token is here if a decoding of it occurs in some text, or is evidence by itself (see :func:`repair`); it is
+    ``live`` if a decoding is, or occurs more than twice as often. Without a live token no text is changed.
     """
     tasks = task_count(texts.sparkSession)
 
@@ -311,15 +312,16 @@ def token_table(texts: DataFrame, rounds: int = 3) -> DataFrame:
     both = met.join(known.select(F.col("key").alias("raw"), F.col("n").alias("n_raw")), "raw", "left")
     entry = lambda key, n: F.when(F.col(n).isNotNull(), F.struct(F.col(key).alias("key"), F.col(n).alias("n")))
     decoded, raw = (F.collect_set(entry(k, n)) for k, n in (("decoded", "n_decoded"), ("raw", "n_raw")))
-    return both.groupBy("token").agg(F.array_union(decoded, raw).cast(COUNTS).alias("counts"))
+    live = F.col("sure") | (1 + F.col("n_decoded") > 2 * (1 + F.when(F.col("n_raw") > 1, F.col("n_raw")).otherwise(0)))
+    return both.groupBy("token").agg(F.array_union(decoded, raw).cast(COUNTS).alias("counts"), F.max(live).alias("live"))
 
 
 def with_counts(texts: DataFrame, table: DataFrame, small: bool) -> DataFrame:
-    """The texts with a token of the table, and the counts of all of these tokens: (key_a, key_b, counts)."""
+    """The texts with a live token of the table, and the counts of all their tokens there: (key_a, key_b, counts)."""
     tokens = F.filter(F.array_distinct(F.split("t", "[ \\t\\r\\n]+")), lambda x: x.rlike("[^\\x00-\\x7f]"))
     pieces = texts.select(*KEYS, F.explode(F.transform(tokens, lambda x: F.xxhash64(x))).alias("token"))
     found = pieces.join(F.broadcast(table) if small else table, "token")
-    return found.groupBy(*KEYS).agg(F.array_distinct(F.flatten(F.collect_list("counts"))).alias("counts"))
+    return found.groupBy(*KEYS).agg(F.array_distinct(F.flatten(F.collect_list("counts"))).alias("counts"), F.max("live").alias("live")).filter("live").drop("live")
 
 
 def fitted(texts: DataFrame, table: DataFrame, small: bool, sample: int = 20_000, size: int = 65_536, stretch: int = 2000) -> dict[str, bytes]:
@@ -346,9 +348,9 @@ def fitted(texts: DataFrame, table: DataFrame, small: bool, sample: int = 20_000
             yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at, pa.int64())) for c in KEYS), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string())))], names=[*KEYS, "n", "language", "sentence"])
 
     rows = few.join(with_counts(few, table, small), list(KEYS), "left").select(*KEYS, "t", "counts").repartition(task_count(texts.sparkSession))
-    kept = rows.mapInArrow(proper, "key_a long, key_b long, n long, language string, sentence string").orderBy(*KEYS, "n").select("language", "sentence")
-    table_ = kept.toArrow()
-    return train_dictionaries(list(zip(table_.column("language").to_pylist(), table_.column("sentence").to_pylist())), size)
+    kept = rows.mapInArrow(proper, "key_a long, key_b long, n long, language string, sentence string").toArrow()
+    kept = kept.sort_by([(c, "ascending") for c in (*KEYS, "n")])
+    return train_dictionaries(list(zip(kept.column("language").to_pylist(), kept.column("sentence").to_pylist())), size)
 
 
 def restorations(df: DataFrame, text_col: str, sample: int = 20_000, size: int = 65_536, stretch: int = 2000, step_cost: float = 1.0) -> DataFrame:
