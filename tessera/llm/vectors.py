@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,9 +83,11 @@ def similar_vectors(
 
     Each of ``curves`` orderings projects the vectors on ``axes`` random orthogonal directions, shifts the grid
     by a random offset and sorts by the Hilbert position; one range-partitioned shuffle sorts all orderings.
-    Blocks of ``block`` rows meet the block before and the block after, so a vector is compared with
-    ``block`` to ``2 * block`` neighbours on either side of each curve; what the curves found is merged and
-    reranked. Work is linear in the rows, whatever the sizes of the groups of equal or near-equal vectors.
+    Blocks of ``block`` rows meet the block before and the block after; where a partition ends amid a curve, its last
+    ``block`` rows meet the first of the next one. So a vector is compared with ``block`` to ``2 * block``
+    neighbours on either side of each curve, if there are as many; partitions are made of eight blocks or more, few
+    where the rows are few. What the curves found is merged and reranked. Work is linear in the rows, whatever the sizes
+    of the groups of equal or near-equal vectors.
     Results are approximate: a neighbour that is far on every curve is missed. ``min_similarity`` drops weaker
     neighbours early.
 
@@ -130,12 +133,15 @@ def similar_vectors(
                     [pa.array(np.full(b.num_rows, c, dtype=np.int32)), pa.array(hilbert_keys(cells, bits)), b.column("id"), b.column("q")], names=["curve", "key", "id", "q"]
                 )
 
-    ordered = unique.mapInArrow(place, "curve int, key long, id string, q binary").repartitionByRange(task_count(spark), "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
+    # a partition shorter than a block would leave its rows without neighbours
+    parts = max(1, min(task_count(spark), source.count() * curves // (8 * block)))
+    ordered = unique.mapInArrow(place, "curve int, key long, id string, q binary").repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
 
     def best(rows, around_ids, row_ids, around, own):
-        """The k best neighbours of each row of a block, as a batch of lists."""
+        """The k best neighbours of each row of a block, as a batch of lists; the rows themselves begin at place ``own``, if they are there."""
         sims = rows.astype(np.float32) @ around.astype(np.float32).T
-        sims[np.arange(len(rows)), own + np.arange(len(rows))] = -3  # itself
+        if own is not None:
+            sims[np.arange(len(rows)), own + np.arange(len(rows))] = -3  # itself
         if floor <= -2 and sims.shape[1] > k + 1:
             cut = np.partition(sims, sims.shape[1] - k - 1, axis=1)[:, sims.shape[1] - k - 1]
             r, c = np.nonzero(sims >= np.maximum(cut, -2)[:, None])
@@ -198,7 +204,54 @@ def similar_vectors(
                     yield from push(False)
         yield from push(True)
 
-    found = ordered.mapInArrow(windows, "id string, near array<struct<d double, id string>>")
+    def edges(batches):
+        """The first rows of a partition for the edge before it (side 1), its last rows for the edge after it (side 0)."""
+        number = TaskContext.get().partitionId()
+
+        def side(rows, which, edge):
+            n = rows.num_rows
+            return pa.RecordBatch.from_arrays([pa.array([edge] * n, pa.int32()), pa.array([which] * n, pa.int32()), rows.column("curve"), rows.column("id"), rows.column("q")], names=["edge", "side", "curve", "id", "q"])
+
+        left, last, have = block, [], 0
+        start = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            start = b.column("curve")[0] if start is None else start
+            if left:
+                head = b.slice(0, left)
+                left -= head.num_rows
+                yield side(head, 1, number - 1)
+            last.append(b)
+            have += b.num_rows
+            while have - last[0].num_rows >= block:
+                have -= last.pop(0).num_rows
+        if have > block:
+            last[0] = last[0].slice(have - block)
+        for b in last:
+            yield side(b, 0, number)
+
+    def across(t: pa.Table) -> pa.Table:
+        """Neighbours of the rows of one edge beyond it. Rows of other curves than those at the edge aren't neighbours."""
+        curve, which = t.column("curve").to_numpy(), t.column("side").to_numpy()
+        if which.min() == which.max():
+            return pa.Table.from_batches([], near_schema)
+        same = curve == curve[which == 0].max()  # curves ascend: the last one before the edge, the first one behind it
+        if curve[which == 1].min() != curve[which == 0].max():
+            return pa.Table.from_batches([], near_schema)
+        ids, rows = [], []
+        for s in (0, 1):
+            part = t.filter(pa.array(same & (which == s)))
+            ids.append(part.column("id").combine_chunks())
+            rows.append(_matrix(part.column("q"), dim))
+        return pa.Table.from_batches([best(rows[s], ids[1 - s], ids[s], rows[1 - s], None) for s in (0, 1)]).cast(near_schema)
+
+    near_schema = pa.schema([("id", pa.string()), ("near", pa.list_(pa.struct([("d", pa.float64()), ("id", pa.string())])))])
+    near_type = "id string, near array<struct<d double, id string>>"
+    found = ordered.mapInArrow(windows, near_type)
+    if parts > 1:
+        beyond = ordered.mapInArrow(edges, "edge int, side int, curve int, id string, q binary").groupBy("edge").applyInArrow(across, near_type)
+        found = found.unionByName(beyond)
     merged = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     return merged.select("id", F.posexplode("near").alias("pos", "n")).select(
         "id", F.col("n.id").alias("neighbor"), (-F.col("n.d")).alias("similarity"), (F.col("pos") + 1).cast("int").alias("rank")

@@ -86,3 +86,25 @@ def test_pairs_of_the_test_table(spark, data):
     near, s = exact(np.stack([vec[i] for i in ids]), 10)
     wanted = {tuple(sorted((ids[i], ids[j]))) for i in range(len(ids)) for j in near[i] if s[i, j] >= 0.92}
     assert {tuple(r) for r in p1_found(spark, data).collect()} == wanted
+
+
+def test_no_link_is_lost_between_partitions(spark, data):
+    """The pairs don't hang on the number of partitions, nor does recall with partitions of few blocks."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    rng = np.random.default_rng(5)
+    x = np.repeat(rng.standard_normal((300, 16)), 8, axis=0) + 0.25 * rng.standard_normal((2400, 16))
+    df = frame(spark, [(f"i{i:04d}", [float(v) for v in r], 1, "c", "k", "o") for i, r in enumerate(x)])
+    near, _ = exact(x, 5)
+    wanted = {(i, int(j)) for i in range(len(x)) for j in near[i]}
+    pairs, recall = [], []
+    try:
+        for n in (1, 4, 64, 200, 1000):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            pairs.append({tuple(r) for r in p1_found(spark, data).collect()})
+            if n in (1, 64):
+                got = similar_vectors(df, "image", "vec", k=5, dim=16, axes=8, curves=4, block=64).collect()
+                recall.append(len({(int(r["id"][1:]), int(r["neighbor"][1:])) for r in got} & wanted) / len(wanted))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(p == pairs[0] for p in pairs)
+    assert recall[1] >= recall[0] - 0.01, recall
