@@ -55,16 +55,17 @@ def documents(spark, d) -> DataFrame:
 
 
 def search_store(spark, d) -> DataFrame:
-    return store_rows(spark, d).select(
+    """The store as searches read it, made once: they read it several times."""
+    return cut_lineage(store_rows(spark, d).select(
         "id", F.col("embedding").alias("vector"), "document", "caption", F.col("leaf_folder").alias("folder"), F.col("representative_image").alias("image_path"), "member_count", "sidecar_text"
-    )
+    ))
 
 
-def search_queries(spark, d) -> DataFrame:
+def search_queries(spark, d, store: DataFrame) -> DataFrame:
     """Queries made of hits: their captions as text and the vectors of their images."""
     hits = table(spark, d, "folder_hits").filter("hit_id % 50 = 0").select(F.col("hit_id").alias("query_id"), "caption", "image_path").distinct()
     hits = hits.groupBy("query_id").agg(F.min("caption").alias("text"), F.min("image_path").alias("image_path"))
-    return hits.join(search_store(spark, d).select("image_path", "vector"), "image_path", "left").select("query_id", "text", "vector")
+    return cut_lineage(hits.join(store.select("image_path", "vector"), "image_path", "left").select("query_id", "text", "vector"))
 
 
 USABLE = "v IS NOT NULL AND len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0"
@@ -130,8 +131,8 @@ DOCS = "docs AS (SELECT id, coalesce(document, '') AS text FROM cur)"
 @query(f"WITH {CURRENT}, {QUERYSET}, {NEAREST.format(k=24)} SELECT query_id, id, rank::INT AS rank, round(greatest(s, 0), 6) AS score FROM arm_v")
 def vector_topk(spark, d):
     """Vector search: the 24 nearest records of each query."""
-    q = search_queries(spark, d)
-    hits = retrieval.vector_search(q, search_store(spark, d), 24, DIM)
+    store = search_store(spark, d)
+    hits = retrieval.vector_search(search_queries(spark, d, store), store, 24, DIM)
     return hits.select("query_id", "id", F.col("rank").cast("int").alias("rank"), six(F.col("score")).alias("score"))
 
 
@@ -172,7 +173,7 @@ def tokenize_df(spark, d):
 @query(f"""WITH docs AS (SELECT doc_id AS id, text FROM documents), asked AS (SELECT item_id AS query_id, text FROM eval_items WHERE item_id % 50 = 0), {SYNONYMS}, {bm25_sql(10)}
 SELECT term, df, round(idf, 6) AS idf FROM idf""")
 def bm25_idf(spark, d):
-    idf = lexical.term_idf(lexical.term_counts(documents(spark, d), "doc_id", "text"))
+    idf = lexical.term_idf(cut_lineage(lexical.term_counts(documents(spark, d), "doc_id", "text")))
     return idf.select("term", "df", six(F.col("idf")).alias("idf"))
 
 
@@ -194,7 +195,7 @@ SELECT top.query_id, top.id, rank::INT AS rank, round(fused, 6) AS fused, {COSIN
 def keyword_search(spark, d):
     """Keyword search with true cosines as scores."""
     store = search_store(spark, d)
-    hits = retrieval.keyword_search(search_queries(spark, d), store, lexical.build_index(store, "id", "document"), 24)
+    hits = retrieval.keyword_search(search_queries(spark, d, store), store, lexical.build_index(store, "id", "document"), 24)
     return hits.select("query_id", "id", F.col("rank").cast("int").alias("rank"), six(F.col("fused")).alias("fused"), six(F.col("score")).alias("score"))
 
 
@@ -211,7 +212,7 @@ shown AS (SELECT hits.query_id, hits.id, rank::INT AS rank, fused, CASE WHEN in_
 
 def hybrid(spark, d, k: int) -> DataFrame:
     store = search_store(spark, d)
-    return retrieval.hybrid_search(search_queries(spark, d), store, lexical.build_index(store, "id", "document"), k, DIM)
+    return retrieval.hybrid_search(search_queries(spark, d, store), store, lexical.build_index(store, "id", "document"), k, DIM)
 
 
 @query(hybrid_sql(24) + " SELECT query_id, id, rank, round(fused, 6) AS fused, match, score FROM shown")
@@ -246,14 +247,14 @@ both_ AS (SELECT * FROM kept UNION ALL SELECT * FROM more), marked AS (SELECT *,
 SELECT query_id, id, score, match, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN added = 1 THEN score ELSE fused END DESC, id)::INT AS rank FROM marked WHERE id NOT IN (SELECT id FROM excids) QUALIFY rank <= 24""")
 def agentic_filter(spark, d):
     """Hybrid search, then only images with a doorway and a shadow and without pavement, those that qualify added."""
-    store = cut_lineage(search_store(spark, d))
-    asked = search_queries(spark, d)
+    store = search_store(spark, d)
+    asked = search_queries(spark, d, store)
     edges = clean_edges(spark, d)
     ids = store.select("id", F.lower(P.slashes(F.col("image_path"))).alias("image"))
     required = ids.join(graph.images_with_all(edges, list(NAMED)), "image", "left_semi").select("id")
     excluded = ids.join(graph.images_with_any(edges, ["pavement"]), "image", "left_semi").select("id")
     found = retrieval.hybrid_search(asked, store, lexical.build_index(store, "id", "document"), 72, DIM)
-    found = found.withColumn("score", six(F.col("score")))
+    found = cut_lineage(found.select("query_id", "id", six(F.col("score")).alias("score"), "fused", "match"))
     kept = retrieval.filter_by_objects(found, store, asked, required, excluded, 24, DIM)
     return kept.select("query_id", "id", six(F.col("score")).alias("score"), "match", F.col("rank").cast("int").alias("rank"))
 

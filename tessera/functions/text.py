@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Particles that may end a Korean word, words without visual meaning, translations and concepts.
-PARTICLES = (
-    "으로서 으로써 이라고 라고서 에서는 에서도 에게서 에서 에게 한테 께서 부터 까지 보다 처럼 마다 이라 라고 이나 라도 에는 에도 으로 로서 로써 "
-    "은 는 이 가 을 를 와 과 도 만 의 에 로 랑 께 들"
-).split()
-STOPWORDS = (
-    "이미지 사진 그림 사진들 리스트 목록 장면 모습 느낌 찾아줘 찾아 찾기 검색 보여줘 보여 줘 관련 그리고 또는 좀 것 거 등 수 그 이런 저런 어떤 해줘 "
-    "image images photo photos picture pictures pic pics scene scenes shot shots find show search list "
-    "the a an of with in on at and or to please me that this some any is are it"
-).split()
+PARTICLES = [
+    "으로서", "으로써", "이라고", "라고서", "에서는", "에서도", "에게서", "에서", "에게", "한테", "께서", "부터", "까지", "보다", "처럼", "마다", "이라", "라고", "이나", "라도", "에는", "에도", "으로",
+    "로서", "로써", "은", "는", "이", "가", "을", "를", "와", "과", "도", "만", "의", "에", "로", "랑", "께", "들",
+]
+STOPWORDS = [
+    "이미지", "사진", "그림", "사진들", "리스트", "목록", "장면", "모습", "느낌", "찾아줘", "찾아", "찾기", "검색", "보여줘", "보여", "줘", "관련", "그리고", "또는", "좀", "것", "거", "등", "수",
+    "그", "이런", "저런", "어떤", "해줘", "image", "images", "photo", "photos", "picture", "pictures", "pic", "pics", "scene", "scenes", "shot", "shots",
+    "find", "show", "search", "list", "the", "a", "an", "of", "with", "in", "on", "at", "and", "or", "to", "please", "me", "that", "this", "some",
+    "any", "is", "are", "it",
+]
 TRANSLATIONS = {
     "오토바이": ["motorcycle", "motorbike", "bike", "scooter"], "바이크": ["motorcycle", "bike"], "스쿠터": ["scooter", "motorcycle"],
     "밤": ["night", "nighttime", "dark"], "야간": ["night", "nighttime"], "밤중": ["night", "midnight"], "낮": ["day", "daytime"], "주간": ["day", "daytime"],
@@ -87,6 +88,20 @@ def lexical_tokens(text: Column) -> Column:
     return F.flatten(F.transform(_forms(text), spread))
 
 
+def with_form(tokens: DataFrame) -> DataFrame:
+    """Adds ``form``, a struct of a token ``t`` and its form without particle, to a table of tokens.
+
+    What needs these for every use of a token should count equal tokens first: a table of tokens is compiled code, nested
+    functions over arrays aren't.
+    """
+    return tokens.withColumn("form", F.struct("t", F.when(F.col("t").rlike(LATIN), F.col("t")).otherwise(strip_particle(F.col("t"))).alias("s")))
+
+
+def lexical_forms(form: Column) -> Column:
+    """What :func:`lexical_tokens` makes of one token."""
+    return F.when(form["t"].rlike(LATIN), F.array(form["t"])).otherwise(F.concat(F.array_distinct(F.array(form["t"], form["s"])), _translations(form)))
+
+
 def expand_query(text: Column) -> Column:
     """The different tokens, forms and translations of a query in order, or the query itself if there are none."""
     terms = F.array_distinct(lexical_tokens(text))
@@ -99,23 +114,25 @@ def concept_hints(text: Column) -> Column:
     return F.array_distinct(F.filter(hits, lambda c: c.isNotNull()))
 
 
-def feature_tokens(text: Column) -> Column:
-    """Weighted features of a text: words 3, forms without particle and translations 2, bigrams 1, trigrams 0.7."""
+def features_of(form: Column) -> Column:
+    """Weighted features of a token: the word 3, its form without particle and translations 2, bigrams 1, trigrams 0.7."""
 
     def feature(kind: str, weight: float):
         return lambda x: F.struct(F.concat(F.lit(kind), x).alias("feature"), F.lit(weight).alias("weight"))
 
-    def spread(x: Column) -> Column:
-        t, stem = x["t"], x["s"]
-        return F.concat(
-            F.transform(F.array(t), feature("w:", 3.0)),
-            F.transform(F.when(stem != t, F.array(stem)).otherwise(_strings()), feature("w:", 2.0)),
-            F.transform(_translations(x), feature("w:", 2.0)),
-            F.transform(char_ngrams(t, 2), feature("g2:", 1.0)),
-            F.transform(char_ngrams(t, 3), feature("g3:", 0.7)),
-        )
+    t, stem = form["t"], form["s"]
+    return F.concat(
+        F.transform(F.array(t), feature("w:", 3.0)),
+        F.transform(F.when(stem != t, F.array(stem)).otherwise(_strings()), feature("w:", 2.0)),
+        F.transform(_translations(form), feature("w:", 2.0)),
+        F.transform(char_ngrams(t, 2), feature("g2:", 1.0)),
+        F.transform(char_ngrams(t, 3), feature("g3:", 0.7)),
+    )
 
-    return F.flatten(F.transform(_forms(text), spread))
+
+def feature_tokens(text: Column) -> Column:
+    """Weighted features of the tokens of a text, in order."""
+    return F.flatten(F.transform(_forms(text), features_of))
 
 
 def hash_bucket(feature: Column, dim: int) -> Column:

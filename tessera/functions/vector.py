@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import feature_tokens, hash_bucket
+from tessera.functions.text import features_of, hash_bucket, tokenize, with_form
+from tessera.session import task_count
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -58,9 +59,13 @@ def hashed_features(df: DataFrame, id_col: str, text_col: str, dim: int = 512) -
     vector is empty. Null ids are left out.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    raw = F.struct(F.concat(F.lit("raw:"), F.when(F.coalesce("text", F.lit("")) == "", F.lit("∅")).otherwise(F.col("text"))).alias("feature"), F.lit(1.0).alias("weight"))
-    own = rows.withColumn("f", feature_tokens(F.col("text"))).withColumn("f", F.when(F.size("f") > 0, F.col("f")).otherwise(F.array(raw)))
-    summed = own.select("id", F.explode("f").alias("f")).groupBy("id", hash_bucket(F.col("f.feature"), dim).alias("bucket")).agg(F.sum("f.weight").alias("w"))
+    # texts go to their place before they become tokens: what follows needs no other shuffle, and equal tokens count once
+    rows = rows.repartition(task_count(df.sparkSession), "id").select("id", "text", tokenize(F.col("text")).alias("t"))
+    tokens = rows.select("id", F.explode("t").alias("t")).groupBy("id", "t").agg(F.count("*").alias("n"))
+    found = with_form(tokens).select("id", "n", F.explode(features_of(F.col("form"))).alias("f")).select("id", "f.feature", (F.col("n") * F.col("f.weight")).alias("w"))
+    raw = F.concat(F.lit("raw:"), F.when(F.coalesce("text", F.lit("")) == "", F.lit("∅")).otherwise(F.col("text")))
+    found = found.unionByName(rows.filter(F.size("t") == 0).select("id", raw.alias("feature"), F.lit(1.0).alias("w")))
+    summed = found.groupBy("id", hash_bucket(F.col("feature"), dim).alias("bucket")).agg(F.sum("w").alias("w"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
     return summed.select("id", "bucket", (F.col("w") / length).alias("weight"))
 
@@ -78,12 +83,12 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 10, dim: int = 64, exc
     q_type, r_type = dict(queries.dtypes)["id"], dict(rows.dtypes)["id"]
     asked = queries.select("id", "vector").filter(is_usable(F.col("vector"), dim) & F.col("id").isNotNull())
     held = rows.select("id", F.col("vector").cast("array<double>").alias("vector")).filter(is_usable(F.col("vector"), dim) & F.col("id").isNotNull())
-    count = asked.count()
-    blocks = max(1, -(-count // block_rows))
+    first = asked.limit(block_rows + 1).toArrow()  # one job where the queries are few
+    blocks = 1 if first.num_rows <= block_rows else -(-asked.count() // block_rows)
     schema = f"query_id {q_type}, id {r_type}, score double"
     found = None
     for n in range(blocks):
-        own = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n)).toArrow()
+        own = first if blocks == 1 else asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == n).toArrow()
         if not own.num_rows:
             continue
         q_ids = own.column("id").combine_chunks()

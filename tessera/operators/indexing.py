@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -25,9 +25,10 @@ def build_report(status: DataFrame, failed: DataFrame | None = None) -> DataFram
 
 
 def last_by(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The last row of each key by ``order`` (nulls first)."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """The last row of each key by ``order`` (nulls first). Rows of a key meet within their task before they are shuffled."""
+    rest = [c for c in df.columns if c != key]
+    last = df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_m"))
+    return last.select(*[F.col(key) if c == key else F.col(f"_m.{c}").alias(c) for c in df.columns])
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:

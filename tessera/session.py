@@ -34,15 +34,32 @@ def get_session(app: str = "tessera", cpus: str | int | None = None, **conf: str
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and read it from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. A session that names none (tests, a
+    The folder is the one the session names in ``spark.checkpoint.dir``. A local session that names none (tests, a
     laptop) gets a folder of its own; a cluster must name one, since a machine's own folder isn't shared.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate data go: the folder in ``spark.checkpoint.dir``, or one of this machine if the session is local; an error on a cluster that names none."""
+    sc = spark.sparkContext
+    if named := sc.getConf().get("spark.checkpoint.dir"):
+        return named
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return _own_folder(sc.applicationId)
+
+
+@functools.cache
+def _own_folder(application: str) -> str:
+    at = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+    atexit.register(shutil.rmtree, at, True)
+    return at
+
+
 def task_count(spark: SparkSession) -> int:
     """Partitions for a shuffle that Spark can't size by itself: the session's setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
