@@ -54,11 +54,15 @@ def documents(spark, d) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
+def store_hits(spark, d) -> DataFrame:
+    return store_rows(spark, d).select(
+        "id", F.col("embedding").alias("vector"), "document", "caption", F.col("leaf_folder").alias("folder"), F.col("representative_image").alias("image_path"), "member_count", "sidecar_text"
+    )
+
+
 def search_store(spark, d) -> DataFrame:
     """The store as searches read it, made once: they read it several times."""
-    return cut_lineage(store_rows(spark, d).select(
-        "id", F.col("embedding").alias("vector"), "document", "caption", F.col("leaf_folder").alias("folder"), F.col("representative_image").alias("image_path"), "member_count", "sidecar_text"
-    ))
+    return cut_lineage(store_hits(spark, d))
 
 
 def search_queries(spark, d, store: DataFrame) -> DataFrame:
@@ -299,7 +303,7 @@ SELECT id, representative_image AS image_path, 0.0::DOUBLE AS score, 'graph' AS
 def graph_gallery(spark, d):
     """Records of the images that show a figure and a shadow."""
     found = graph.images_with_all(clean_edges(spark, d), ["figure", "shadow"]).select(P.image_id(F.col("image")).alias("key"))
-    rows = search_store(spark, d).withColumn("key", P.image_id(F.col("image_path")))
+    rows = store_hits(spark, d).withColumn("key", P.image_id(F.col("image_path")))
     return rows.join(found, "key", "left_semi").select("id", "image_path", F.lit(0.0).alias("score"), F.lit("graph").alias("match"))
 
 
@@ -493,7 +497,7 @@ def existing_mtimes(spark, d):
 def fetch_hits(spark, d):
     """Records of the images of all hits; images that the store doesn't have drop out."""
     hits = table(spark, d, "folder_hits").select("hit_id", "image_path").distinct()
-    return hits.join(search_store(spark, d), "image_path").select("hit_id", "id", P.display_caption(F.col("caption"), F.col("document")).alias("caption")).distinct()
+    return hits.join(store_hits(spark, d), "image_path").select("hit_id", "id", P.display_caption(F.col("caption"), F.col("document")).alias("caption")).distinct()
 
 
 # keys and documents

@@ -34,10 +34,16 @@ def _top(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fused"), "id"))).filter(F.col("rank") <= k)
 
 
+HIT = ("folder", "image_path", "caption", "document", "member_count", "sidecar_text")
+
+
+def _as_hits(joined: DataFrame) -> DataFrame:
+    return joined.withColumn("caption", display_caption(F.col("caption"), F.col("document"))).drop("document")
+
+
 def _with_hits(ranked: DataFrame, store: DataFrame) -> DataFrame:
     """Records of the ranked ids; ids that the store doesn't have drop out."""
-    hit = store.select("id", "folder", "image_path", display_caption(F.col("caption"), F.col("document")).alias("caption"), "member_count", "sidecar_text")
-    return ranked.join(hit, "id")
+    return _as_hits(ranked.join(store.select("id", *HIT), "id"))
 
 
 def vector_search(queries: DataFrame, store: DataFrame, k: int = 24, dim: int = 64) -> DataFrame:
@@ -66,19 +72,24 @@ def hybrid_search(queries: DataFrame, store: DataFrame, index: LexicalIndex, k:
     member_count, sidecar_text).
     """
     fan = fan_out(k)
-    vectors = nearest(queries.select(F.col("query_id").alias("id"), "vector"), store.select("id", "vector"), fan, dim).select("query_id", "id", F.col("rank").alias("rank_v"))
+    vectors = nearest(queries.select(F.col("query_id").alias("id"), "vector"), store.select("id", "vector"), fan, dim).select("query_id", "id", F.col("rank").alias("rank_v"), F.col("score").alias("known"))
     words = bm25(index, queries, fan).select("query_id", "id", F.col("rank").alias("rank_k"))
     vote = lambda c: F.coalesce(F.lit(1.0) / (RRF + F.col(c)), F.lit(0.0))
     fused = vectors.join(words, ["query_id", "id"], "full_outer").select(
-        "query_id", "id", F.round(vote("rank_v") + vote("rank_k"), 12).alias("fused"), F.col("rank_v").isNotNull().alias("in_v"), F.col("rank_k").isNotNull().alias("in_k")
+        "query_id", "id", F.round(vote("rank_v") + vote("rank_k"), 12).alias("fused"), F.col("rank_v").isNotNull().alias("in_v"), F.col("rank_k").isNotNull().alias("in_k"), "known"
     )
     return _scored(_top(fused, k).withColumn("match", provenance(F.col("in_v"), F.col("in_k"))).drop("in_v", "in_k"), queries, store)
 
 
 def _scored(ranked: DataFrame, queries: DataFrame, store: DataFrame) -> DataFrame:
+    """Hits with their cosines, those that the vector arm knows (``known``) and the others."""
+    known = F.col("known") if "known" in ranked.columns else F.lit(None).cast("double")
+    ranked = ranked.withColumn("known", known)
+    own = F.when(F.col("known").isNull(), F.col("vector"))  # what is known needs no vectors
     asked = queries.select("query_id", F.col("vector").alias("q_vector"))
-    joined = ranked.join(store.select("id", "vector"), "id").join(asked, "query_id")
-    return _with_hits(joined.withColumn("score", _true_cosine()).drop("vector", "q_vector"), store)
+    joined = ranked.join(store.select("id", *HIT, "vector"), "id").withColumn("vector", own).join(asked, "query_id")
+    scored = joined.withColumn("score", F.when(F.col("known").isNotNull(), clamp_score(F.col("known"))).otherwise(_true_cosine()))
+    return _as_hits(scored.drop("known", "vector", "q_vector"))
 
 
 def by_example(ids: DataFrame, store: DataFrame, k: int = 24, dim: int = 64) -> DataFrame:

@@ -76,16 +76,15 @@ def build_index(spark: SparkSession, root: str, store: SnapshotStore, embedder:
     """
     settings = settings or IndexSettings(model_id=embedder.name)
     signature = (settings.model_id, embedder.dim, settings.granularity)
-    if settings.full or (store.signature is not None and store.signature != signature):
-        store.clear()
+    reset = settings.full or (store.signature is not None and store.signature != signature)
     wanted = cut_lineage(units(spark, root, settings))
-    status = cut_lineage(indexing.classify(wanted.select("id", F.col("mtime").alias("change_key")), store.records().select("id", F.col("mtime").alias("change_key"))))
+    stored = store.records().filter(F.lit(not reset)).select("id", F.col("mtime").alias("change_key"))
+    status = cut_lineage(indexing.classify(wanted.select("id", F.col("mtime").alias("change_key")), stored))
     todo = wanted.join(status.filter("status in ('new', 'changed')").select("id"), "id", "left_semi")
     embedded = cut_lineage(embed_images(todo, embedder))
     good, bad = indexing.split_usable(embedded, "embedding")
-    store.delete(status.filter("status = 'gone'").select("id"))
     rows = good.withColumnRenamed("path", "representative_image").withColumns({"model_id": F.lit(settings.model_id), "embed_dim": F.lit(embedder.dim), "granularity": F.lit(settings.granularity)})
-    store.upsert(rows, signature)
+    store.change(rows, status.filter("status = 'gone'").select("id"), signature, reset)
     return indexing.build_report(status, bad), bad
 
 

@@ -1,6 +1,7 @@
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.embedding import HashEmbedder, embed_images, image_dhash, mean_brightness, write_bmp
@@ -110,6 +111,49 @@ def test_store(spark, tmp_path):
     assert SnapshotStore(spark, str(tmp_path / "s")).version == 4
 
 
+def written(root):
+    return {p: sum(f.stat().st_size for f in (root / p).iterdir()) for p in os.listdir(root) if not p.startswith((".", "manifest"))}
+
+
+def test_changes_write_what_changes(spark, tmp_path):
+    at = tmp_path / "s"
+    store = SnapshotStore(spark, str(at))
+    big = spark.range(4000).select(F.col("id").cast("string"), F.array([F.rand(n).cast("float") for n in range(64)]).alias("embedding"), F.lit("1").alias("mtime"))
+    assert store.upsert(big) and store.version == 1
+    before = written(at)
+    assert store.upsert(spark.createDataFrame([("7", "new"), ("x", "added")], "id string, caption string")) and store.delete(spark.createDataFrame([("8",), ("zz",)], "id string"))
+    new = {p: n for p, n in written(at).items() if p not in before}
+    assert all(p.startswith("layer") for p in new) and sum(new.values()) < 0.05 * sum(before.values())
+    assert store.version == 3 and store.count() == 4000
+    assert {r["id"]: r["caption"] for r in store.records().filter("id in ('7', '8', '9', 'x')").collect()} == {"7": "new", "9": None, "x": "added"}
+    # nothing changes: no version
+    assert not store.delete(spark.createDataFrame([("8",), ("zz",)], "id string")) and not store.update_meta(spark.createDataFrame([("zz", "c")], "id string, caption string")) and not store.upsert(big.limit(0))
+    assert store.version == 3
+    for n in range(20):
+        store.upsert(spark.createDataFrame([(f"y{n}", "z")], "id string, caption string"))
+    assert store.count() == 4020 and len(store._manifest()["layers"]) <= store.MANY
+    store.vacuum()
+    assert store.count() == 4020 and len([n for n in os.listdir(at) if n.startswith("manifest")]) == 1
+
+
+def test_a_crash_between_any_steps_loses_nothing(spark, tmp_path, monkeypatch):
+    at = tmp_path / "s"
+    store = SnapshotStore(spark, str(at))
+    store.upsert(spark.createDataFrame([("a", "1"), ("b", "1")], "id string, mtime string"))
+    monkeypatch.setattr(SnapshotStore, "_publish", lambda self, m: 1 / 0)  # after the data, before the manifest
+    with pytest.raises(ZeroDivisionError):
+        store.upsert(spark.createDataFrame([("c", "1")], "id string, mtime string"))
+    monkeypatch.undo()
+    assert store.version == 1 and store.count() == 2
+    (at / "manifest-0000000002.json").write_text('{"version": 2, "ba')  # half a file
+    assert store.version == 1 and store.count() == 2
+    with pytest.raises(RuntimeError):
+        store.delete(spark.createDataFrame([("a",)], "id string"))  # another writer took the number
+    os.remove(at / "manifest-0000000002.json")
+    store.delete(spark.createDataFrame([("a",)], "id string"))
+    assert [r["id"] for r in SnapshotStore(spark, str(at)).records().collect()] == ["b"]
+
+
 def test_stream_into_store(spark, tmp_path):
     source, store = tmp_path / "in", SnapshotStore(spark, str(tmp_path / "s"))
     rows = spark.createDataFrame([("a", "one"), ("b", "two")], "id string, document string")

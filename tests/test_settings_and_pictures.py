@@ -32,7 +32,7 @@ def test_sample_tree_from_end_to_end(spark, tmp_path):
     report, _ = build_index(spark, root, store, HashEmbedder(64), IndexSettings("folder"))
     assert report.head()["written"] == 8 and {r["rep_method"] for r in store.records().collect()} == {"middle"}
     words = {r["leaf_folder"].rsplit("/", 1)[1]: r["document"] for r in store.records().collect()}
-    assert "A motorcycle parked by the road at night (frame 1/3)" in words["motorcycle_parked_night"]
+    assert "A tram stops in fresh snow (frame 1/3)" in words["tram_in_snow"]
     split = labels.label_file_split(files.texts(spark, root)).head()
     assert tuple(split) == (0, 24, 0)
 
