@@ -6,16 +6,15 @@ Scores are rounded to six decimals on both sides. Search queries take every row
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
 from tessera.functions import text as X
 from tessera.functions import vector as V
 from tessera.operators import graph, history, indexing, labels, lexical, representative, retrieval
-from tessera.session import cut_lineage, spread
+from tessera.session import cut_lineage, shared_folder, spread
 from tessera.session import read_table as table
 
 QUERIES: dict = {}
@@ -480,12 +479,12 @@ def delete_ids(spark, d):
     return indexing.delete(old, new)
 
 
-@query(rf"SELECT DISTINCT leaf_folder FROM store_rows WHERE leaf_folder IS NOT NULL AND lower(rtrim(replace(leaf_folder, '\', '/'), '/')) NOT IN (SELECT lower(rtrim(replace(path, '\', '/'), '/')) FROM leaf_folders WHERE path IS NOT NULL)")
+@query(rf"SELECT DISTINCT leaf_folder FROM store_rows WHERE leaf_folder IS NOT NULL AND lower(rtrim(replace(leaf_folder, '\', '/'), '/')) NOT IN (SELECT lower(rtrim(replace(path, '\', '/'), '/')) FROM leaf_folders WHERE path IS NOT NULL AND scanned_at < TIMESTAMP '2023-07-01')")
 def prune_missing(spark, d):
-    """Folders of the store that the tree doesn't have."""
-    kept = table(spark, d, "store_rows").filter("leaf_folder is not null").select("leaf_folder").distinct().withColumn("key", P.folder_id(F.col("leaf_folder")))
-    there = table(spark, d, "leaf_folders").select(P.folder_id(F.col("path")).alias("key"))
-    return kept.join(there, "key", "left_anti").select("leaf_folder")
+    """Folders of the store that the tree didn't have by the middle of the time."""
+    kept = table(spark, d, "store_rows").filter("leaf_folder is not null").select("leaf_folder").distinct().withColumn("id", P.folder_id(F.col("leaf_folder")))
+    there = table(spark, d, "leaf_folders").filter("path is not null and scanned_at < timestamp_ntz'2023-07-01 00:00:00'").select(P.folder_id(F.col("path")).alias("id")).distinct()
+    return indexing.delete(kept, there).select("leaf_folder")
 
 
 @query(f"WITH {CURRENT} SELECT id, mtime, coalesce(document, '') AS document FROM cur WHERE mtime IS NOT NULL")
@@ -582,11 +581,8 @@ def concept_counts(spark, d):
 @query("SELECT DISTINCT hit_id, query_id, CASE WHEN score::VARCHAR = 'nan' THEN 'NaN' ELSE printf('%.4f', score) END AS score, caption, image_path, folder, member_count FROM folder_hits WHERE score::VARCHAR = 'nan' OR abs(score * 10000 - floor(score * 10000) - 0.5) > 1e-6")
 def result_export(spark, d):
     """All rows of a result export; scores are rounded by their exact binary value, exact halves to even, and null scores stay null."""
-    rows = table(spark, d, "folder_hits").distinct()
-    # Java's formats don't go by the exact binary value: DecimalFormat makes 0.0000 of 0.00005, which is above the half
-    text = F.udf(lambda score: None if score is None else f"{score:.4f}", "string")
-    shown = F.when(F.isnan("score"), F.lit("NaN")).otherwise(text("score"))
-    return rows.select("hit_id", "query_id", shown.alias("score"), "caption", "image_path", "folder", "member_count").distinct()
+    rows = table(spark, d, "folder_hits").select("hit_id", "query_id", "score", "caption", "image_path", "folder", "member_count").distinct()
+    return history.result_rows(rows, "hit_id", "query_id")
 
 
 HITS = "h AS (SELECT DISTINCT hit_id, query_id, folder, image_path, caption, fused_score FROM folder_hits), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, hit_id, caption NULLS FIRST) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM h)"
@@ -613,26 +609,6 @@ def path_lists(spark, d):
     return history.first_lines(ranked_hits(spark, d), "query_id", _order(), F.col("image_path"), 2**31 - 1, "\n").withColumnRenamed("text", "paths")
 
 
-@query(f"""WITH {HITS} SELECT query_id, 'Found ' || max(n) || ' matching folders for ''' || query_id || '''. Most similar: ' || string_agg(regexp_extract(replace(folder, '\\', '/'), '([^/]*)/*$', 1), ', ' ORDER BY rank) FILTER (rank <= 3)
- || '. Top caption: ' || coalesce(max(caption) FILTER (rank = 1), '') AS summary FROM r GROUP BY 1""".replace("\\\\", "\\"))
-def summary_template(spark, d):
-    """A sentence on the results of each query."""
-    hits = ranked_hits(spark, d)
-    tops = history.first_lines(hits, "query_id", _order(), P.basename(F.col("folder")), 3, ", ").withColumnRenamed("text", "tops")
-    first = history.first_lines(hits, "query_id", _order(), F.coalesce("caption", F.lit("")), 1, "").withColumnRenamed("text", "first")
-    n = hits.groupBy("query_id").agg(F.count("*").alias("n"))
-    told = F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" matching folders for '"), F.col("query_id").cast("string"), F.lit("'. Most similar: "), "tops", F.lit(". Top caption: "), "first")
-    return n.join(tops, "query_id").join(first, "query_id").select("query_id", told.alias("summary"))
-
-
-@query(f"WITH {HITS} SELECT query_id, rank::INT AS rank, 'Result ' || rank || '/' || n || ' · ' || coalesce(caption, '') AS label FROM r")
-def rank_labels(spark, d):
-    """Labels of the hits of each query."""
-    w = Window.partitionBy("query_id")
-    rows = ranked_hits(spark, d).withColumn("rank", F.row_number().over(w.orderBy(*_order()))).withColumn("n", F.count("*").over(w))
-    return rows.select("query_id", "rank", F.concat(F.lit("Result "), F.col("rank").cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" · "), F.coalesce("caption", F.lit(""))).alias("label"))
-
-
 @query("""WITH k AS (SELECT * FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) WHERE b IS NULL OR event_type IS DISTINCT FROM b)
 SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)::INT AS pos FROM k QUALIFY pos <= 200""")
 def history_dedupe(spark, d):
@@ -665,10 +641,10 @@ def stream_hits_by_day(spark, d):
     source = os.path.dirname(path)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
     stream = stream.parquet(path) if os.path.isdir(path) else stream.option("pathGlobFilter", "folder_hits.parquet").parquet(source)
-    counted = windowed_counts(stream.filter("hit_at is not null").withColumn("hit_at", F.col("hit_at").cast("timestamp")), "hit_at", "1 day", ["match"], "3650 days")
-    name = f"hits_by_day_{abs(hash(d))}"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    at = f"{base}/{name}_{os.urandom(4).hex()}" if base else tempfile.mkdtemp(prefix="tessera-stream-")
-    run = counted.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", at).trigger(availableNow=True).start()
+    counted = windowed_counts(stream.filter("hit_at is not null").withColumn("hit_at", F.col("hit_at").cast("timestamp")), "hit_at", "1 day", ["match"], "30 days")
+    at = f"{shared_folder(spark).rstrip('/')}/hits-by-day-{os.urandom(6).hex()}"
+    # the counts so far replace those before, in files: none of them pass the driver
+    write = lambda counts, _: counts.write.mode("overwrite").parquet(f"{at}/counts")
+    run = counted.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "match", "n")
+    return spark.read.parquet(f"{at}/counts").select(F.col("start").cast("timestamp_ntz").alias("start"), "match", "n")

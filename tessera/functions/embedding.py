@@ -85,7 +85,10 @@ def write_bmp(image: np.ndarray) -> bytes:
 
 
 def shrink(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Mean of the pixels that fall into each cell of a smaller grid."""
+    """Mean of the pixels that fall into each cell of a grid; a grid finer than the image repeats its pixels."""
+    for axis, most in ((0, height), (1, width)):
+        if image.shape[axis] < most:
+            image = image.take(np.arange(most) * image.shape[axis] // most, axis=axis)
     ys, xs = (np.minimum(np.arange(n) * m // n, m - 1) for n, m in ((image.shape[0], height), (image.shape[1], width)))
     flat = (ys[:, None] * width + xs[None, :]).ravel()
     channels = image.reshape(-1, image.shape[2] if image.ndim == 3 else 1).astype(np.float64)
