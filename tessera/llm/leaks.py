@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import read_table, spread
+from tessera.session import cut_lineage, read_table, spread
 
 WORD = re.compile(r"[^\W_]+")
 COMMENT = re.compile(r"<!--.*?-->", re.S)
@@ -223,6 +223,8 @@ def leaked_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
         own = tests if blocks == 1 else tests.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         members = Items([(r["item_id"], r["text"]) for r in own.collect()], least)
         one = rows.mapInArrow(passage(members), schema)
+        if blocks > 1:
+            one = cut_lineage(one)  # one block of items after the other, so that the driver needn't hold all of them
         found = one if found is None else found.unionByName(one)
     rank = F.struct(F.col("n_words"), -F.col("doc_word"), -F.col("item_word"))
     return found.groupBy("doc_id", "item_id").agg(F.max(rank).alias("m")).select("doc_id", "item_id", F.col("m.n_words").alias("n_words"), (-F.col("m.col2")).alias("doc_word"), (-F.col("m.col3")).alias("item_word"))

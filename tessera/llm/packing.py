@@ -14,21 +14,19 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage, read_table, spread, task_count
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+# Fixed value: how the vocabulary's texts were split into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @functools.lru_cache(maxsize=2)
-def _encoder(vocabulary: str):
-    """A tokenizer from a file of ranks (.tiktoken), of the tokenizers library (.json) or of sentencepiece (.model)."""
+def _encoder(vocabulary: str, pattern: str):
+    """A tokenizer from a file of ranks (.tiktoken; ``pattern`` splits texts into words), of the tokenizers library (.json) or of sentencepiece (.model)."""
     if vocabulary.endswith(".tiktoken"):
         import tiktoken
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        try:
-            from public_tokenizers import PATTERN
-        except ImportError:
-            PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        encoding = tiktoken.Encoding(os.path.basename(vocabulary), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encoding = tiktoken.Encoding(os.path.basename(vocabulary), pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         return lambda texts: [len(x) for x in encoding.encode_ordinary_batch(texts, num_threads=1)]
     if vocabulary.endswith(".json"):
         from tokenizers import Tokenizer
@@ -42,11 +40,11 @@ def _encoder(vocabulary: str):
     return lambda texts: [len(x) for x in pieces.encode(texts, num_threads=1)]
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_tokens) of every row with an id; a null text has a null count. The tasks read ``vocabulary`` from their own disk."""
 
     def count(batches):
-        encode = _encoder(vocabulary)
+        encode = _encoder(vocabulary, pattern)
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 piece = b.slice(s, 256)
@@ -125,7 +123,7 @@ def plan_containers(counts: np.ndarray, capacity: int) -> list[tuple[list[int],
         plan.append((way, times))
 
 
-def pack_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """Containers for the texts: (container_id, doc_id, part, first_token, n_tokens).
 
     Every text lies whole in one container of ``capacity`` tokens, ``part`` 0; a text of more tokens is cut into
@@ -140,7 +138,7 @@ def pack_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     """
     spark = df.sparkSession
     # range partitioning reads its input twice: the tokens are counted once
-    counts = cut_lineage(token_counts(df, id_col, text_col, vocabulary).filter("n_tokens is not null"))
+    counts = cut_lineage(token_counts(df, id_col, text_col, vocabulary, pattern).filter("n_tokens is not null"))
     parts = F.when(F.col("n_tokens") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / capacity)))
     items = counts.select("doc_id", "n_tokens", F.explode(parts).alias("part")).select(
         "doc_id", "part", (F.col("part") * capacity).alias("first_token"), F.least(F.col("n_tokens") - F.col("part") * capacity, F.lit(capacity)).cast("long").alias("n_tokens")

@@ -22,6 +22,9 @@ def image_key(path: Column) -> Column:
     return F.lower(F.translate(path, "\\", "/"))
 
 
+PAIRS = 2_000_000  # pairs of light items that are expanded at once
+
+
 def _expand(counts: np.ndarray) -> np.ndarray:
     """0..n-1 for every n in ``counts``, in one array."""
     ends = np.cumsum(counts)
@@ -95,10 +98,17 @@ def _count_pairs(names: dict[str, int], heavy: int, flush: int, batches):
         if not len(code):
             return
         after = np.searchsorted(row, row, side="right") - np.arange(len(row))  # itself and the later ones of its record
-        left = np.repeat(np.arange(len(row)), after)
-        keys, counts = np.unique((code[left] << 32) | code[left + _expand(after)], return_counts=True)
-        held.append((keys, counts))
-        held_size += len(keys)
+        ends = np.cumsum(after)
+        at = 0
+        while at < len(row):  # so many items at a time that their pairs are few, also those of one record of very many
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+            left = np.repeat(np.arange(at, end), after[at:end])
+            keys, counts = np.unique((code[left] << 32) | code[left + _expand(after[at:end])], return_counts=True)
+            held.append((keys, counts))
+            held_size += len(keys)
+            if held_size > flush:
+                compact()
+            at = end
         if heavy:
             by = np.argsort(code, kind="stable")
             lists, first = np.unique(code[by], return_index=True)
@@ -145,7 +155,7 @@ def _merge(t: pa.Table) -> pa.RecordBatch:
 
 
 def cooccurring_items(
-    df: DataFrame, record_col: str | Column, items_col: str | Column, min_count: int = 1, min_lift: float = 0.0, density: float = 1 / 64, max_heavy: int = 512, flush: int = 1_500_000
+    df: DataFrame, record_col: str | Column, items_col: str | Column, min_count: int = 1, min_lift: float = 0.0, density: float = 1 / 64, max_heavy: int = 512, flush: int = 1_500_000, sample: int = 100_000
 ) -> DataFrame:
     """How often each pair of items shares a record: (item_a, item_b, n_ab, n_a, n_b, n_records, lift).
 
@@ -155,17 +165,19 @@ def cooccurring_items(
     ``min_count`` or ``min_lift`` don't come out; with the defaults every pair does, exactly. An empty table
     gives no rows. Other columns of ``df`` are ignored, whatever their names.
 
-    Heavy are the items in at least ``density`` of the rows, at most ``max_heavy`` of them; only their names
-    travel to the tasks. The choice decides how a pair is counted, never whether.
+    Heavy are the items in at least ``density`` of about ``sample`` rows (of all with 0), at most ``max_heavy`` of them;
+    only their names travel to the tasks. The choice decides how a pair is counted, never whether: all rows are counted.
     """
     spark = df.sparkSession
     rec = F.col(record_col) if isinstance(record_col, str) else record_col
     items = F.col(items_col) if isinstance(items_col, str) else items_col
     rows = df.select(rec.cast("string").alias("rec"), items.alias("items")).filter("rec is not null")
-    usage = rows.select(F.explode("items").alias("x")).filter("x is not null").groupBy("x").count()
-    size = rows.count()
-    top = usage.filter(F.col("count") >= max(2, density * size)).orderBy(F.desc("count"), "x").limit(max_heavy).collect()
-    names = {r["x"]: i for i, r in enumerate(top)}
+    # which items are heavy is told by a sample: it decides how a pair is counted, not whether. A null stands for the row itself
+    some = rows.sample(min(1.0, sample / max(df.count(), 1)), seed=1) if sample else rows
+    usage = some.select(F.explode(F.array_append(F.coalesce("items", F.array().cast("array<string>")), F.lit(None).cast("string"))).alias("x")).groupBy("x").count()
+    top = usage.orderBy(F.col("x").isNotNull(), F.desc("count"), "x").limit(max_heavy + 1).collect()
+    size = top[0]["count"] if top else 0
+    names = {r["x"]: i for i, r in enumerate(r for r in top[1:] if r["count"] >= max(2, density * size))}
 
     # rows repeated within a record are merged before the shuffle by record, so a record of a third of all rows stays small
     spread = rows.withColumn("items", F.array_sort(F.array_distinct(F.filter(F.coalesce("items", F.array().cast("array<string>")), lambda x: x.isNotNull())))).dropDuplicates(["rec", "items"])
