@@ -6,6 +6,7 @@ import functools
 import math
 import re
 from collections import Counter
+from re import _compiler as compiler
 from re import _constants as sre
 from re import _parser as parser
 
@@ -128,10 +129,11 @@ EXPLAINS = re.compile(
 )
 # Letters that patterns without regard to case take for others, beyond what lower() makes of them.
 CASES = str.maketrans({"İ": "i", "ı": "i", "ſ": "s"})
+UNLIKE = re.compile("[İıſ]")
 
 
 def _folded(text: str) -> str:
-    return text.translate(CASES).lower() if not text.isascii() else text.lower()
+    return text.lower() if text.isascii() or not UNLIKE.search(text) else text.translate(CASES).lower()
 
 
 def _spelled(item, most: int = 48) -> set[str] | None:
@@ -186,40 +188,47 @@ def needed(items) -> set[str] | None:
     return max(sets, key=lambda x: min(sum(1 if c.isalnum() and c.isascii() else 3 for c in w) for w in x)) if sets else None
 
 
+def alternatives(pattern: re.Pattern) -> list[tuple[re.Pattern, set[str] | None]]:
+    """The alternatives of a pattern as patterns of their own, and strings of which every match of each has one (None: it needs none)."""
+    parsed = parser.parse(pattern.pattern, pattern.flags)
+    parts = parsed[0][1][1] if len(parsed) == 1 and parsed[0][0] is sre.BRANCH else [parsed]
+    return [(compiler.compile(x, pattern.flags), needed(x)) for x in parts]
+
+
 def literals(pattern: re.Pattern) -> set[str] | None:
     """Strings of which every match of a pattern has one; None if one of its alternatives needs none."""
-    parsed = parser.parse(pattern.pattern, pattern.flags)
-    alternatives = parsed[0][1][1] if len(parsed) == 1 and parsed[0][0] is sre.BRANCH else [parsed]
-    each = [needed(x) for x in alternatives]
+    each = [words for _, words in alternatives(pattern)]
     return set().union(*each) if all(each) else None
 
 
 @functools.cache
 def _automaton():
-    """A function that tells the kinds (as bits) that a folded text may have: those with a needed string in it and those without such strings."""
+    """The alternatives of all kinds in order, (kind, pattern, whole pattern), and a function that tells which of them (as bits) may match a folded text: those with a needed string in it and those without such strings."""
     found: dict[str, int] = {}
-    always = 0
-    for bit, (_, pattern) in enumerate(KINDS):
-        if (words := literals(pattern)) is None:
-            always |= 1 << bit
-        for x in words or ():
-            found[x] = found.get(x, 0) | 1 << bit
+    always, parts = 0, []
+    for kind, pattern in KINDS:
+        for part, words in alternatives(pattern):
+            if words is None:
+                always |= 1 << len(parts)
+            for x in words or ():
+                found[x] = found.get(x, 0) | 1 << len(parts)
+            parts.append((kind, part, pattern))
     try:
         import ahocorasick
     except ImportError:
-        return lambda text: always | _any_of(text, found)
+        return parts, lambda text: always | _any_of(text, found)
     machine = ahocorasick.Automaton()
     for x, bits in found.items():
         machine.add_word(x, bits)
     machine.make_automaton()
 
-    def kinds(text: str) -> int:
+    def bits_of(text: str) -> int:
         bits = always
         for _, more in machine.iter(text):
             bits |= more
         return bits
 
-    return kinds
+    return parts, bits_of
 
 
 def _any_of(text: str, found: dict[str, int]) -> int:
@@ -240,24 +249,29 @@ PLAIN = re.compile(r"(?<![^\W\d_])[a-z]{2,}(?![^\W\d_])")  # words in plain lett
 KINDS = (("placeholder", PLACEHOLDER), ("unset", UNSET), ("filler", FILLER), ("filler", REPEATED), ("script", SCRIPT), ("error", ERROR))
 
 
-def segments_of(text: str):
-    """(kind, weak, segment) for each sentence or line of a text; the kind is None without residue, or where residue is explained or quoted."""
-    kinds_in = _automaton()
+def split(text: str) -> list[str]:
+    """The sentences and lines of a text, without markup."""
     if "<" in text or "*" in text or "&" in text:
         text = MARKUP.sub(lambda m: " " if INLINE.match(m[0]) else "\n", text)
-    for segment in SEGMENT.split(text):
-        if not segment:
-            continue
-        if bits := kinds_in(_folded(segment)):
-            bare = QUOTED.sub(" ", segment)
-            for bit, (kind, pattern) in enumerate(KINDS):
-                if bits >> bit & 1 and pattern.search(bare) and not EXPLAINS.search(segment):
-                    yield kind, bool(kind in ("error", "filler") and WEAK.search(bare) and not pattern.search(WEAK.sub(" ", bare))), segment.strip()
-                    break
-            else:
-                yield None, False, segment.strip()
-        else:
-            yield None, False, segment.strip()
+    return [x for x in SEGMENT.split(text) if x]
+
+
+def segments_of(text: str):
+    """(kind, weak, segment) for each sentence or line of a text; the kind is None without residue, or where residue is explained or quoted."""
+    parts, bits_of = _automaton()
+    for segment in split(text):
+        bits = bits_of(_folded(segment))
+        bare = QUOTED.sub(" ", segment) if bits else segment
+        found = None
+        while bits:
+            bit = (bits & -bits).bit_length() - 1
+            bits &= bits - 1
+            kind, part, pattern = parts[bit]
+            if part.search(bare):
+                if not EXPLAINS.search(segment):
+                    found = (kind, bool(kind in ("error", "filler") and WEAK.search(bare) and not pattern.search(WEAK.sub(" ", bare))), segment.strip())
+                break
+        yield found or (None, False, segment.strip())
 
 
 def residue_segments(text: str):
@@ -293,11 +307,12 @@ class Likeness:
         return known
 
     def __call__(self, segment: str, least_words: int = 5) -> float:
-        """The sum over the words of a segment; minus infinity if they are fewer, or a fifth of them or more aren't in plain letters."""
+        """The sum over the words of a segment; minus infinity if they are fewer, nor is it above 0 if a fifth of them or more aren't in plain letters."""
         plain = PLAIN.findall(low := segment.lower())
-        if len(plain) < least_words or len(plain) <= 0.8 * len(WORDS.findall(low)):
+        if len(plain) < least_words:
             return -math.inf
-        return sum(map(self.word, plain))
+        total = sum(map(self.word, plain))
+        return total if total <= 0 or len(plain) > 0.8 * len(WORDS.findall(low)) else -math.inf
 
 
 def _subject(text: str, host: str | None) -> tuple[str, set[str]]:
@@ -380,6 +395,8 @@ def residue(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
             for k, (text, host) in enumerate(zip(b.column("text").to_pylist(), b.column("host").to_pylist())):
                 if sum(x for w in PLAIN.findall(text.lower()) if (x := like.word(w)) > 0) < least_likeness:
                     continue  # nor can the sum of any sentence be more
+                if not any(like(x) >= least_likeness for x in split(text)):
+                    continue
                 first, about = _subject(text, host)
                 for kind, _, segment in segments_of(text):
                     if kind is None and like(segment) >= least_likeness and (segment in first or about.isdisjoint(TERM.findall(segment.lower()))) and like(QUOTED.sub(" ", segment)) >= least_likeness:
