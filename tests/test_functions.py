@@ -2,11 +2,12 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tessera.functions import embedding, paths, text, vector
+from tessera.functions import embedding, paths, text, topk, vector
 from tessera.plans import planner
 
 
@@ -110,3 +111,32 @@ def test_images_without_libraries():
     assert v.shape == (304,) and abs(v[256:].sum() - 1) < 1e-5
     assert (embedding.visual_descriptor(None, "p") == embedding.visual_descriptor(None, "p")).all()
     assert embedding.dhash(image) != embedding.dhash(image[:, ::-1])
+
+
+def test_nearest_of_many_queries(spark, monkeypatch):
+    """Many queries go in groups of fewer tasks; rows that tie with the last one go by id, however many they are."""
+    assert topk.layout(1, 24, 6)[0] == 1 and topk.layout(29_250, 72, 6) == (6, 1) and topk.layout(29_250, 24, 6) == (3, 2)
+    monkeypatch.setattr(topk, "CANDIDATES", 500)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((900, 8))
+    x[200:260] = x[100]
+    rows = spark.createDataFrame([(f"r{i:03}", [float(v) for v in r]) for i, r in enumerate(x)], "id string, vector array<float>").repartition(16)
+    asked = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x[:120])], "id long, vector array<double>")
+    found = vector.nearest(asked, rows, 5, 8)
+    assert sum(1 for line in found._jdf.queryExecution().toString().split("== Physical")[0].splitlines() if "MapInArrow" in line) > 1
+    x32 = x.astype(np.float32).astype(np.float64)
+    s = np.round((x[:120] / np.linalg.norm(x[:120], axis=1)[:, None]) @ (x32 / np.linalg.norm(x32, axis=1)[:, None]).T, 12)
+    want = {(q, f"r{i:03}", n + 1) for q in range(120) for n, i in enumerate(np.lexsort((np.arange(900), -s[q]))[:5])}
+    assert {(r["query_id"], r["id"], r["rank"]) for r in found.collect()} == want
+
+
+def test_best_keeps_few_rows_of_a_tie():
+    top = topk.Best(2, 3)
+    for at in range(5, 0, -1):
+        top.begin(pa.array([f"{at}{i:04}" for i in range(400)]))
+        near = np.ones((2, 400), np.float32)
+        top.scan(near, 0, np.full(2, 1e-6), -3.0, lambda q, row: (np.ones(len(q)), np.zeros(len(q), np.int32)))
+        top.settle()
+        assert len(top.found[0]) <= 12 and top.held <= 12
+    got = pa.Table.from_batches(top.batches_of(pa.array([7, 8]), ["q", "id", "score"])).to_pydict()
+    assert set(zip(got["q"], got["id"])) == {(q, f"1{i:04}") for q in (7, 8) for i in range(3)}
