@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessera.functions import topk
 from tessera.operators import graph, history, indexing, labels, lexical, ranking, representative, retrieval
 
 RECORDS = [("a", "f", ["사람", "오토바이"]), ("b", "f", ["사람", "차"]), ("c", "g", ["사람", "오토바이", "차"]), ("d", "g", ["휴대폰"]), ("e", "g", []), (None, "g", ["차"]), ("d", "g", ["휴대폰", None, " "])]
@@ -144,3 +145,21 @@ def test_numbers_within_groups(spark):
     for g in ("big", None, "small"):
         rows = sorted((r["i"], r["pos"], r["n"]) for r in got if r["g"] == g)
         assert [p for _, p, _ in rows] == list(range(len(rows))) and {n for *_, n in rows} == {len(rows)}
+
+
+def test_bm25_of_many_queries(spark, monkeypatch):
+    """Groups of queries, terms in a table or searched for, and weights of zero or less give what the join of all pairs gives; pairs of query and document don't become rows."""
+    words = ["red", "car", "bus", "road", "도로", "도로에", "고양이", "night", "rain", "fog"]
+    text = lambda i, n: " ".join(words[(i * j + i // 7 + j) % len(words)] for j in range(n))
+    docs = spark.createDataFrame([(f"d{i:03}", text(i, 1 + i % 6)) for i in range(400)], "id string, text string").repartition(8)
+    asked = spark.createDataFrame([(i, text(i * 3, 1 + i % 4)) for i in range(60)] + [(99, "nothing")], "query_id long, text string")
+    index = lexical.build_index(docs)
+    signed = lexical.LexicalIndex(index.docs, index.idf.withColumn("idf", F.when(F.col("term") == "car", 0.0).when(F.col("term") == "bus", -0.5).otherwise(F.col("idf"))), index.mean_length)
+    monkeypatch.setattr(topk, "CANDIDATES", 100)
+    for of, table in ((index, lexical.TABLE), (index, 0), (signed, lexical.TABLE)):
+        monkeypatch.setattr(lexical, "TABLE", table)
+        all_pairs = lexical.bm25(of, asked, None).filter("rank <= 7")
+        want = {(r["query_id"], r["id"], r["overlap"], r["rank"], round(r["score"], 7)) for r in all_pairs.collect()}
+        found = lexical.bm25(of, asked, 7)
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+        assert {(r["query_id"], r["id"], r["overlap"], r["rank"], round(r["score"], 7)) for r in found.collect()} == want and len(want) > 300
