@@ -1,8 +1,11 @@
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import check, connect
 from tessera import catalog
+from tessera.functions import topk
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +18,19 @@ def test_query_equals_sql(spark, data, con, name):
     check(catalog.QUERIES[name](spark, data), con, catalog.SQL[name])
 
 
+def test_hybrid_provenance_of_many_queries(spark, data, tmp_path, monkeypatch):
+    """More queries than the cores take at once: groups one after the other, and still every hit counts."""
+    hits = pq.read_table(f"{data}/folder_hits.parquet")
+    pq.write_table(hits.set_column(0, "hit_id", pc.multiply(hits.column("hit_id"), 50)), tmp_path / "folder_hits.parquet")
+    (tmp_path / "store_rows.parquet").symlink_to(f"{data}/store_rows.parquet")
+    monkeypatch.setattr(topk, "CANDIDATES", 500)
+    monkeypatch.setattr(topk, "RESULTS", 72 * 30, raising=False)
+    found = catalog.QUERIES["hybrid_provenance"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("MapInArrow" in line for line in plan.splitlines()) > 4 * spark.sparkContext.defaultParallelism
+    check(found, connect(str(tmp_path)), catalog.SQL["hybrid_provenance"])
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["query_id", "id", "rank", "fused", "match", "score"]
     assert set(entry.oracle_sql()) <= set(entry.queries())

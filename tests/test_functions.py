@@ -130,6 +130,13 @@ def test_nearest_of_many_queries(spark, monkeypatch):
     assert {(r["query_id"], r["id"], r["rank"]) for r in found.collect()} == want
 
 
+def test_a_task_holds_few_results_however_many_the_queries():
+    for n, k in ((29_250, 72), (29_250, 216), (292_500, 72), (3_000_000, 24)):
+        groups, tasks = topk.layout(n, k, 6)
+        assert groups * 1_000_000 >= n * k and groups * tasks % 6 == 0
+    assert topk.layout(1, 10**9, 6)[0] == 1
+
+
 def test_best_keeps_few_rows_of_a_tie():
     top = topk.Best(2, 3)
     for at in range(5, 0, -1):

@@ -163,3 +163,29 @@ def test_bm25_of_many_queries(spark, monkeypatch):
         found = lexical.bm25(of, asked, 7)
         assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
         assert {(r["query_id"], r["id"], r["overlap"], r["rank"], round(r["score"], 7)) for r in found.collect()} == want and len(want) > 300
+
+
+def test_bm25_of_long_queries(spark, monkeypatch):
+    """A task looks up a bounded number of tokens at a time, however long the queries are."""
+    words = [f"w{i}" for i in range(200)]
+    text = lambda i, n: " ".join(words[(i * 7 + j * (1 + i % 3)) % 200] for j in range(n))
+    docs = spark.createDataFrame([(f"d{i:03}", text(i, 1 + i % 9)) for i in range(300)], "id string, text string")
+    asked = spark.createDataFrame([(i, text(i, 150)) for i in range(12)] + [(90, "w3"), (91, "nothing")], "query_id long, text string")
+    index = lexical.build_index(docs)
+    want = {(r["query_id"], r["id"], r["overlap"], r["rank"], round(r["score"], 7)) for r in lexical.bm25(index, asked, None).filter("rank <= 7").collect()}
+    seen, finder = [], lexical._Block._finder
+
+    def counted(self, *args):
+        find = finder(self, *args)
+        return lambda row, t: (seen.append(len(t)), find(row, t))[1]
+
+    weighted = asked.select("query_id", F.explode(F.split("text", " ")).alias("term")).groupBy("query_id", "term").count().join(index.idf, "term")
+    weighted = weighted.select("query_id", "term", (F.col("count") * F.col("idf")).alias("weight")).toArrow()
+    monkeypatch.setattr(lexical, "PAIR_TOKENS", 1000, raising=False)
+    monkeypatch.setattr(lexical._Block, "_finder", counted)
+    block = lexical._Block(weighted, 7, 1.5, 0.75, index.mean_length)
+    found = [r for b in block(index.docs.toArrow().to_batches()) for r in b.to_pylist()]
+    assert max(seen) <= 1000
+    order = sorted(found, key=lambda r: (r["query_id"], -r["score"], -r["overlap"], r["id"]))
+    ranks = [(r, sum(1 for o in order[:i] if o["query_id"] == r["query_id"]) + 1) for i, r in enumerate(order)]
+    assert {(r["query_id"], r["id"], r["overlap"], n, round(r["score"], 7)) for r, n in ranks if n <= 7} == want and len(want) == 13 * 7 - 7 + sum(1 for x in want if x[0] == 90)
